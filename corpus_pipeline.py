@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectide.llm import decontaminate, jaccard, mixing, tokenout
+from vectide.llm import toxicity as toxic
 from vectide.llm.common import Scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go."""
+    return toxic.keep_clean(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of similar texts stays: that of the smallest id."""
     scratch = Scratch(spark, "dedup")
@@ -48,6 +54,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
     ("ngram_jaccard_join", near_duplicates),
     ("benchmark_decontamination", decontamination),
     ("source_mixing", mixture),

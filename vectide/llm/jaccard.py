@@ -15,8 +15,10 @@ with a group's union bounds every similarity inside, and only groups whose bound
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, by_bytes, components, small_batches, table
@@ -24,8 +26,12 @@ from .words import U, hashed, mixed, shingles
 
 #: Words of a shingle; similarity that links, in hundredths.
 WORDS, SIMILAR = 5, 75
-#: Min-hashes of a set, sets in a group, sets that a window compares a new one with.
-KEYS, GROUP, WINDOW = 4, 64, 24
+#: Min-hashes of a set, sets in a group.
+KEYS, GROUP = 4, 64
+#: Sets and bytes that a window holds, and the most alike of them that a new set is compared with.
+POOL, POOL_BYTES, TRIES = 512, 32 << 20, 16
+#: Pairs of each group that the first rounds open; the last round opens all that are left.
+ROUNDS = (1, 4, 16)
 #: Tokens counted together for frequency, and documents from which on a token is ordered last.
 BLOCK_TOKENS, OFTEN = 1 << 21, 12
 #: Bits of the tables that the executors get (2 and 8 MB whatever the input; a full table only prunes less).
@@ -215,21 +221,28 @@ def _early_links(texts, k, reps, popular, heavy, parts):
         schema = [("a", pa.int64()), ("b", pa.int64())]
 
         def rows():
-            now, window, anchor = None, [], None
+            now, pool, sums, held = None, deque(), np.zeros((0, KEYS), U), 0
             for b in batches:
-                for key, deal, first, one, raw in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                for key, deal, one, raw in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
                     t = np.frombuffer(raw, U)
                     if (key, deal) != now:
-                        now, window, anchor = (key, deal), [], None
-                    if first:
-                        anchor = (one, t)
-                    for other, s in ([anchor] if anchor and not first else []) + window:
-                        if other != one and similar(t, s):
-                            yield one, other
+                        now, held = (key, deal), 0
+                        pool.clear()
+                        sums = np.zeros((0, KEYS), U)
+                    own = _min_keys(t, np.array([0, len(t)]))
+                    alike = (sums == own).sum(1)
+                    alike[:1] += KEYS  # the anchor, or the first of the run, comes first
+                    for i in np.argsort(-alike, kind="stable")[:TRIES].tolist():
+                        if alike[i] > 1 and pool[i][0] != one and similar(t, pool[i][1]):
+                            yield one, pool[i][0]
                             break
-                    else:
-                        if not first:
-                            window = [(one, t), *window[: WINDOW - 1]]
+                    pool.append((one, t))
+                    sums = np.concatenate((sums, own))
+                    held += len(raw)
+                    while len(pool) > POOL or (held > POOL_BYTES and len(pool) > 1):
+                        held -= pool[1][1].nbytes if len(pool) > 1 else 0
+                        del pool[1]
+                        sums = np.delete(sums, 1, 0)
 
         yield from _batched(rows(), schema, lambda r: 16)
 
@@ -438,6 +451,48 @@ def _open(rows: DataFrame, parts: int, at: int) -> DataFrame:
     return rows.repartition(parts, "pair").sortWithinPartitions("pair", "side").mapInArrow(verify, "a long, b long")
 
 
+def _sides(pairs: DataFrame, *columns: str) -> DataFrame:
+    """Two rows for each pair, one per group."""
+    both = F.array(F.struct(F.lit(0).alias("side"), F.col("ra").alias("r"), F.col("pa").alias("p")), F.struct(F.lit(1).alias("side"), F.col("rb").alias("r"), F.col("pb").alias("p")))
+    return pairs.select(*columns, F.explode(both).alias("__x")).select(*columns, "__x.side", "__x.r", "__x.p")
+
+
+def _merge_classes(scratch: Scratch, pairs: DataFrame, members: DataFrame, of: DataFrame, parts: int, at: int) -> DataFrame:
+    """Components (node, root) of classes after all qualifying pairs of groups are opened.
+
+    Pairs inside one class need not be opened. So the most alike pairs of each group come first, their links merge
+    classes, and only pairs that still join two classes stay for the next round. Each round opens a few pairs of each
+    group; the last one opens whatever is left, so no link is missed.
+    """
+    spark = scratch.spark
+    links = scratch.keep(spark.createDataFrame([], "a long, b long"), "links")
+    shown = pairs.columns
+    upper = spark.createDataFrame([], "node long, root long")
+    for most in (*ROUNDS, None):
+        top = upper.select(F.col("node").alias("__n"), F.col("root").alias("__t"))
+        left = pairs.join(top, F.col("ra") == F.col("__n"), "left").withColumn("ta", F.coalesce("__t", "ra")).drop("__n", "__t")
+        left = left.join(top, F.col("rb") == F.col("__n"), "left").withColumn("tb", F.coalesce("__t", "rb")).drop("__n", "__t")
+        left = scratch.keep(left.filter("ta <> tb").select(*shown), "left")
+        if not left.limit(1).count():
+            return upper
+        sides = _sides(left, "pair", "score")
+        if most is not None:
+            rank = F.row_number().over(Window.partitionBy("r", "p").orderBy(F.desc("score"), "pair"))
+            best = sides.withColumn("__k", rank).filter(F.col("__k") <= most).select("pair").distinct()
+            best = scratch.keep(best, "best")
+            sides = sides.join(best, "pair", "left_semi")
+            pairs = scratch.keep(left.join(best, "pair", "left_anti").select(*shown), "pairs")
+        opened = members.join(sides, (F.col("root") == F.col("r")) & (F.col("part") == F.col("p"))).select("pair", "side", "sid", "set")
+        found = scratch.keep(_open(opened, parts, at), "found")
+        merged = (
+            found.join(of, F.col("a") == F.col("__s")).select(F.col("__r").alias("x"), "b")
+            .join(of, F.col("b") == F.col("__s")).select(F.col("x").alias("a"), F.col("__r").alias("b"))
+        )
+        links = scratch.keep(links.unionByName(merged), "links")
+        upper = scratch.keep(components(scratch, links, "upper"), "upper")
+    return upper
+
+
 def jaccard_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, at: int = SIMILAR, scratch: Scratch | None = None
 ) -> DataFrame:
@@ -501,25 +556,18 @@ def jaccard_classes(
     need = F.ceil(F.lit(at) * (F.col("la") + F.col("lb")) / F.lit(100 + at)) - F.ceil(F.lit(at) * F.greatest("ha", "hb") / F.lit(100)) + 1
     pairs = (
         counted.groupBy("ra", "pa", "rb", "pb").agg(*(F.first(c).alias(c) for c in ("la", "ha", "lb", "hb")), F.sum("n").alias("n"))
-        .filter(F.col("n") >= need).select("ra", "pa", "rb", "pb", F.xxhash64("ra", "pa", "rb", "pb").alias("pair"))
+        .filter(F.col("n") >= need)
+        .select("ra", "pa", "rb", "pb", F.xxhash64("ra", "pa", "rb", "pb").alias("pair"), (F.col("n") / (F.col("ha") + F.col("hb"))).alias("score"))
     )
     pairs = scratch.keep(pairs, "pairs")
-    sides = pairs.select("pair", F.lit(0).alias("side"), F.col("ra").alias("r"), F.col("pa").alias("p")).unionByName(
-        pairs.select("pair", F.lit(1).alias("side"), F.col("rb").alias("r"), F.col("pb").alias("p"))
-    )
-    opened = scratch.keep(
-        groups.join(sides, (F.col("root") == F.col("r")) & (F.col("part") == F.col("p"))).select("sid", "hid", "pair", "side"), "opened"
-    )
+    sides = _sides(pairs, "pair", "score")
+    opened = groups.join(sides.select("r", "p").distinct(), (F.col("root") == F.col("r")) & (F.col("part") == F.col("p")), "left_semi")
+    opened = scratch.keep(opened.select("sid", "hid", "root", "part"), "opened")
     wanted = sc.broadcast(bit_table(opened, "hid", ID_BITS))
     full = _wanted_sets(texts, k, wanted).withColumnRenamed("sid", "__sid")
-    links = _open(full.join(opened, F.col("__sid") == F.col("sid")).select("pair", "side", "sid", "set"), parts, at)
+    full = scratch.keep(full.join(opened, F.col("__sid") == F.col("sid")).select("sid", "set", "root", "part"), "members")
     of = groups.select(F.col("sid").alias("__s"), F.col("root").alias("__r"))
-    links = scratch.keep(links, "late")
-    joined = (
-        links.join(of, F.col("a") == F.col("__s")).select(F.col("__r").alias("x"), "b")
-        .join(of, F.col("b") == F.col("__s")).select(F.col("x").alias("a"), F.col("__r").alias("b"))
-    )
-    upper = components(scratch, joined, "upper")
+    upper = _merge_classes(scratch, pairs, full, of, parts, at)
     final = scratch.keep(
         groups.join(upper.withColumnRenamed("root", "__top"), F.col("root") == F.col("node"), "left").select("sid", F.coalesce("__top", "root").alias("component")), "final"
     )

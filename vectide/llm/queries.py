@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mixing, sharding, tokenout, tokens, warc
+from . import decontaminate, hnsw, jaccard, mixing, quality, sharding, tokenout, tokens, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
+    "op2_hnsw_dedup": hnsw.query,
     "op3_jaccard_join": jaccard.query,
     "op4_token_counts": tokens.query,
     "op5_token_binary": tokenout.query,
     "op6_decontamination": decontaminate.query,
+    "op7_quality": quality.query,
     "op8_mixing": mixing.query,
     "op9_sharding": sharding.query,
     "op10_warc": warc.query,

@@ -5,11 +5,12 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
-from .common import Scratch, chunks_for, running_totals, small_batches, table
+from .common import Scratch, small_batches, table
 
 #: Tokens of a sequence, sequences of a shard file, and the key of the order.
 SEQ_TOKENS, SHARD_SEQS, KEY = 2048, 4096, 20260701
@@ -58,7 +59,9 @@ def encoder(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1
 
 
-PIECES = "__row long, piece int, seq long, at int, slot long, tokens binary"
+def token_ids(enc, text: str) -> np.ndarray:
+    """Ids of ordinary text; without special tokens no string is special."""
+    return enc.encode_to_numpy(text, disallowed_special=())
 
 
 def materialise(
@@ -75,16 +78,17 @@ def materialise(
 ) -> DataFrame:
     """Write fixed-stride shards and return a row per piece of a document in a sequence.
 
-    The documents, in the order of a hash of their id, form one stream of tokens, each ended by the end id. The
-    stream is cut into sequences of ``seq_tokens``; only the very last is padded (with the end id). Sequence s has
-    the global slot of the keyed permutation, shard slot div shard_seqs, and the bytes from (slot mod shard_seqs) *
-    stride on, ids as little-endian uint16 (uint32 if there are more than 65536). A reader seeks to any slot and
-    resumes there. Columns: id, piece, seq, at (tokens into the sequence), n_tokens (with the end id), slot, shard,
+    The documents, in the order of the scan, form one stream of tokens, each ended by the end id. The stream is cut
+    into sequences of ``seq_tokens``; only the very last is padded (with the end id). Sequence s has the global slot
+    of the keyed permutation, shard slot div shard_seqs, and the bytes from (slot mod shard_seqs) * stride on, ids as
+    little-endian uint16 (uint32 if there are more than 65536). A reader seeks to any slot and resumes there. Columns: id, piece, seq, at (tokens into the sequence), n_tokens (with the end id), slot, shard,
     offset (bytes into the shard) and crc32 of the ids. A null or empty text is the end id alone. Null ids and
     repeated rows are rows like any other; an empty table writes nothing and gives no rows.
 
-    Texts are encoded twice, once to number the sequences and once to write them: this costs less disk than keeping
-    the ids. Shard files appear whole, named by their number, so a task that is run again replaces its own output.
+    Texts are encoded twice, once to add up the tokens of each input partition and once to write them: this costs
+    less disk than keeping the ids or shuffling the texts. ``docs`` must return the same partitions each time, as a
+    written table does; if a partition's tokens differ the second time, the job fails. Shard files appear whole, named
+    by their number, so a task that is run again replaces its own output.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "tokens")
@@ -95,57 +99,54 @@ def materialise(
 
     def counted(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
         enc, _ = encoder(tokenizer_path, pattern)
-        for b in batches:
-            n = [len(enc.encode_ordinary(t)) + 1 for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], ["__id", "__h", "__n"])
-
-    hashed = base.withColumn("__h", F.xxhash64("__id", "__text"))
-    sizes = scratch.keep(hashed.mapInArrow(counted, f"__id {kind}, __h long, __n long"), "sizes")
-    total, rows = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.count(F.lit(1))).first()
-    n_seqs = -(-total // seq_tokens)
-    placed = running_totals(
-        sizes.withColumn("__chunk", F.pmod("__h", F.lit(chunks_for(rows))).cast("int")), [], "__chunk", ["__h", "__id"], "__start", "__n"
-    )
-    # rows with equal id and text take the places of their group in turn
-    starts = scratch.keep(
-        placed.groupBy("__id", "__h").agg(F.min("__start").alias("__start"), F.count(F.lit(1)).alias("__copies"), F.first("__n").alias("__n")),
-        "starts",
-    )
-    scratch.drop(sizes)
-    right = starts.select(F.col("__id").alias("__i"), F.col("__h").alias("__g"), "__start", "__copies")
-    once = hashed.dropDuplicates(["__id", "__h"]) if starts.filter("__copies > 1").limit(1).count() else hashed
-    joined = once.join(right, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__g"))).select("__id", "__text", "__start", "__copies")
+        n = sum(len(enc.encode_ordinary(t)) + 1 for b in batches for t in b.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
+
+    sizes = sorted((r.part, r.n) for r in base.mapInArrow(counted, "part int, n long").collect())  # a row per partition
+    starts, n_tokens = {}, 0
+    for part, n in sizes:
+        starts[part] = (n_tokens, n)
+        n_tokens += n
+    n_seqs = -(-n_tokens // seq_tokens)
+    known = spark.sparkContext.broadcast(starts)
 
     def cut(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
         enc, end_id = encoder(tokenizer_path, pattern)
         dtype = np.dtype("<u2" if end_id < 65536 else "<u4")
+        zipper = zstandard.ZstdCompressor(level=1)
+        first, expected = known.value[TaskContext.get().partitionId()]
+        at_token = first
         for b in batches:
             out = [[] for _ in range(6)]
-            for one, t, start, copies in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                ids = np.array([*enc.encode_ordinary(t), end_id], dtype)
-                for c in range(copies):
-                    s, done, piece = start + c * len(ids), 0, 0
-                    while done < len(ids):
-                        at = (s + done) % seq_tokens
-                        n = min(seq_tokens - at, len(ids) - done)
-                        for k, v in enumerate((one, piece, (s + done) // seq_tokens, at, n, ids[done : done + n].tobytes())):
-                            out[k].append(v)
-                        done += n
-                        piece += 1
+            for one, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids = np.append(token_ids(enc, t), np.uint32(end_id)).astype(dtype)
+                done, piece = 0, 0
+                while done < len(ids):
+                    at = (at_token + done) % seq_tokens
+                    n = min(seq_tokens - at, len(ids) - done)
+                    for k, v in enumerate((one, piece, (at_token + done) // seq_tokens, at, n, ids[done : done + n].tobytes())):
+                        out[k].append(v)
+                    done += n
+                    piece += 1
+                at_token += len(ids)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(out[0], b.column(0).type), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()),
                     pa.array(out[4], pa.int32()), pa.array(slots(np.array(out[2], np.int64), n_seqs, key), pa.int64()),
-                    pa.array([zlib.compress(x, 1) for x in out[5]], pa.binary()),
+                    pa.array([zipper.compress(x) for x in out[5]], pa.binary()),
                 ],
                 ["__id", "piece", "seq", "at", "n", "slot", "ids"],
             )
+        if at_token - first != expected:
+            raise ValueError("the table's partitions changed between counting and writing")
 
-    pieces = joined.mapInArrow(cut, f"__id {kind}, piece int, seq long, at int, n int, slot long, ids binary")
+    pieces = base.mapInArrow(cut, f"__id {kind}, piece int, seq long, at int, n int, slot long, ids binary")
     pieces = pieces.withColumn("shard", F.expr(f"cast(slot div {shard_seqs} as int)"))
     n_shards = max(1, -(-n_seqs // shard_seqs))
     ranges = max(1, min(n_shards, 65536))
@@ -156,6 +157,7 @@ def materialise(
 
         _, end_id = encoder(tokenizer_path, pattern)
         dtype = np.dtype("<u2" if end_id < 65536 else "<u4")
+        unzip = zstandard.ZstdDecompressor()
         stride = seq_tokens * dtype.itemsize
         pad = np.full(seq_tokens, end_id, dtype).tobytes()
         shard, f, opened = None, None, None
@@ -177,7 +179,7 @@ def materialise(
                         shard, done = where[i], 0
                         opened = files.writing(f"{out_dir}/shard-{shard:08d}.bin")
                         f = opened.__enter__()
-                    ids = zlib.decompress(zipped)
+                    ids = unzip.decompress(zipped)
                     offset = (slot[i] % shard_seqs) * stride + at[i] * dtype.itemsize
                     if offset > done:
                         f.write(pad[: offset - done] if offset - done <= stride else b"")
@@ -204,7 +206,6 @@ def materialise(
 
     found = dealt.mapInArrow(write, f"__id {kind}, piece int, seq long, at int, n_tokens int, slot long, shard int, offset long, crc32 long")
     found = scratch.keep(found, "written")
-    scratch.drop(starts)
     return found.withColumnRenamed("__id", id_col)
 
 

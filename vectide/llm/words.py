@@ -119,13 +119,11 @@ def shingles(words: np.ndarray, bounds: np.ndarray, k: int = 5) -> tuple[np.ndar
     doc = np.repeat(np.arange(n), size)
     left = np.repeat(bounds[1:], size) - np.arange(len(words))  # words from here to the end of the text
     h = np.zeros(len(words), U)
-    factor = U(1)
     for i in range(k):
         w = np.zeros(len(words), U)
-        w[: len(words) - i] = words[i:]
+        w[: max(0, len(words) - i)] = words[i:]
         w[left <= i] = U(0x5851F42D4C957F2D)
         h = h * U(_BASE | 1) + w
-    del factor, w
     keep = (left >= k) | (np.arange(len(words)) == bounds[:-1][doc])
     keep &= (left >= k) | (size[doc] < k)
     h, doc = mixed(h[keep]), doc[keep]

@@ -1 +1 @@
-
+"""Query builders."""

@@ -1 +1 @@
-
+"""Bounded record-batch transport."""
