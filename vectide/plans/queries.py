@@ -253,11 +253,11 @@ SQL: dict[str, str] = {
     "centroid_update": f"""WITH {_DIGITS}, flat AS (
   SELECT d.book, d.slot, i - 1 AS at, e.embedding[i]::DOUBLE AS x, 1 AS m FROM digits d JOIN embeddings e USING (vec_id), range(1, 4097) r(i) WHERE i <= len(e.embedding)
   UNION ALL SELECT book, slot, i - 1, c[i], 0 FROM books, range(1, 4097) r(i) WHERE i <= len(c))
-SELECT book, slot, sum(m)::BIGINT AS members, at, round(avg(x), 6) AS x FROM flat GROUP BY book, slot, at""",
+SELECT book, slot, sum(m)::BIGINT AS members, "at", round(avg(x), 6) AS x FROM flat GROUP BY book, "at", slot""",
     "normalize": f"""SELECT vec_id, i - 1 AS at, round(v[i] / greatest(sqrt(list_inner_product(v, v)), 1e-12), 6) AS x
 FROM (SELECT vec_id, {_LONG} AS v FROM embeddings), range(1, 4097) r(i) WHERE i <= len(v)""",
-    "quantize": f"WITH {_LEVELS} SELECT vec_id, at, q FROM levels",
-    "dequantize": f"WITH {_LEVELS} SELECT vec_id, at, round((s * (q - z))::FLOAT::DOUBLE, 5) AS x FROM levels",
+    "quantize": f'WITH {_LEVELS} SELECT vec_id, "at", q FROM levels',
+    "dequantize": f'WITH {_LEVELS} SELECT vec_id, "at", round((s * (q - z))::FLOAT::DOUBLE, 5) AS x FROM levels',
     "quantize_parameters": f"WITH {_LEVELS} SELECT round(s, 9) AS scale, round_even(-lo / s, 0)::BIGINT AS shift FROM p",
     "batch_sizes": "SELECT i AS batch_id, 128::BIGINT AS n, 128::BIGINT AS distinct_rows FROM range((SELECT count(*) // 128 FROM orders)) r(i)",
     "read_orders": "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_totalprice > 1000 AND o_orderpriority IS NOT NULL",

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from ..operators.coder import CoderConfig, Coding, books_frame
 from ..operators.rows import ROW_ID, union_all, with_row_id
@@ -177,7 +177,7 @@ class Catalog:
             own, meta = self.store.read_json(f"{at}/{META}"), self.meta(name)
             if own["table"] != meta["version"] or own["coding"] != self.coding_meta(coding)["version"]:
                 raise StaleIndex(f"index {coding!r} on {name}.{column} is older than its table or coding; sync it")
-            schema = StructType.fromJson(meta["schema"]).add(ROW_ID, "long").add(CODE, "long").add(CELL, "int")
+            schema = StructType.fromJson(meta["schema"]).add(ROW_ID, LongType()).add(CODE, LongType()).add(CELL, IntegerType())
             frames.append(self.spark.read.schema(schema).parquet(self.store.full(f"{at}/v-{own['build']}")))
         out = union_all(*frames)
         return out if hidden else out.drop(ROW_ID, CELL)
