@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 import re
 
@@ -62,6 +64,15 @@ def test_substitutions_within_a_seed(spark):
     assert r["items"] == [2] and r.n_words == 24
 
 
+def test_seeds_miss_no_choice_of_substitutions():
+    for n in range(8, D.WINDOW + 1):
+        shifts = [[s + i for i, bit in enumerate(m) if bit == "1"] for m in D.MASKS for s in range(n - len(m) + 1)]
+        masks = [sum(1 << i for i in counting) for counting in shifts]
+        for gone in itertools.combinations(range(n), n - math.ceil(D.AGREE * n - 1e-9)):
+            bits = sum(1 << i for i in gone)
+            assert any(not bits & m for m in masks), (n, gone)
+
+
 def test_blocks_give_the_same_items(spark):
     rows = docs()
     whole = {r.doc_id: r["items"] for r in found(spark, rows, ITEMS).collect()}
