@@ -37,7 +37,7 @@ def test_round_trip(spark, tmp_path):
     assert not list((tmp_path / "w").glob("*.whole.gz")) and not list((tmp_path / "w").glob("*.part"))
     total = 0
     for m in manifest.collect():
-        with files.reading(m.archive) as f, files.reading(m.index) as x:
+        with files.reading(m.archive) as f, files.reading(m["index"]) as x:
             raw = f.read()
             for line in x:
                 at = json.loads(line)
