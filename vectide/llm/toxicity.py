@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,9 @@ FIT_ROWS, THRESHOLD = 4000, 0.7
 LEXICONS, PATTERNS, FEATURES = 8, 32, 1024
 #: A term is suspicious or innocent from this log-likelihood ratio on, in so many documents at least.
 EVIDENCE, SUPPORT = 16.0, 3
-PREFIXES = (4, 5)
+PREFIXES = (4, 5, 6, 7)
+#: Log odds that a label gives the label model, beside the other voters.
+LABEL_ODDS = 8.0
 STEP = 1 << 20
 #: Insults that vote before any are learnt.
 SEED = frozenset("idiot moron stupid loser scum trash pathetic worthless disgusting bastard asshole bitch shit fuck".split())
@@ -40,10 +43,17 @@ def words_of(text: str) -> set[str]:
 
 
 def terms_of(words: set[str]) -> set[str]:
-    """Words, and prefixes as patterns (written with a star)."""
+    """Words, and as patterns their prefixes: of one longer word (written with a star) or of several (with two)."""
     out = set(words)
     for n in PREFIXES:
-        out.update(w[:n] + "*" for w in words if len(w) > n)
+        once: set[str] = set()
+        for w in words:
+            if len(w) > n:
+                head = w[:n] + "*"
+                if head in once:
+                    out.add(head + "*")
+                once.add(head)
+        out |= once
     return out
 
 
@@ -116,7 +126,11 @@ def _within(v: np.ndarray, post: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LabelModel:
-    """P(vote | class) of each voter and the correlation of voters beyond the class, fitted without labels."""
+    """P(vote | class) of each voter and the correlation of voters beyond the class.
+
+    Where labels are known, they start the fit and stay as one more voter of fixed strength, so that the hidden class
+    is the labelled one; without them the voters alone decide.
+    """
 
     prior: float
     table: np.ndarray  # class, voter, vote + 1
@@ -124,12 +138,13 @@ class LabelModel:
     weight: np.ndarray
 
     @classmethod
-    def fit(cls, v: np.ndarray, prior: float, rounds: int = 60) -> "LabelModel":
+    def fit(cls, v: np.ndarray, prior: float, rounds: int = 60, known: np.ndarray | None = None) -> "LabelModel":
         onehot = np.stack([v == k for k in (-1, 0, 1)], 2).astype(float)
         strength, c = moments(v)
         correlation = c - np.outer(strength, strength)
         base = np.log(prior / (1 - prior))
-        post = None
+        label = np.zeros(len(v)) if known is None else LABEL_ODDS * (2.0 * known - 1)
+        post = None if known is None else _logistic(base + label)
         for _ in range(4):
             # voters that agree beyond what the class explains share their say
             np.fill_diagonal(correlation, 1)
@@ -139,16 +154,16 @@ class LabelModel:
             for _ in range(rounds):
                 counts = np.einsum("cn,nmk->cmk", np.stack((1 - post, post)), onehot) + 0.1
                 out = cls(prior, counts / counts.sum(2, keepdims=True), correlation, weight)
-                old, post = post, out.posterior(v)
+                old, post = post, out.posterior(v, label)
                 if np.abs(post - old).max() < 1e-6:
                     break
             correlation = _within(v, post)
         return out
 
-    def posterior(self, v: np.ndarray) -> np.ndarray:
+    def posterior(self, v: np.ndarray, label: np.ndarray | float = 0.0) -> np.ndarray:
         ratio = np.log(self.table[1]) - np.log(self.table[0])
         say = ratio[np.arange(v.shape[1])[None, :], v.astype(int) + 1]
-        return _logistic(np.log(self.prior / (1 - self.prior)) + (say * self.weight).sum(1))
+        return _logistic(np.log(self.prior / (1 - self.prior)) + (say * self.weight).sum(1) + label)
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 2e-4, rounds: int = 400) -> tuple[np.ndarray, float]:
@@ -167,38 +182,44 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 2e-4, rounds: int =
     return w, b
 
 
-def fit(terms: list[set[str]], labels: list[int]) -> tuple[dict[str, float], float]:
-    """Weights of terms and the bias. Labels choose the voters' terms; the classifier learns the label model's posteriors."""
+def fit(docs: list[list[str]], labels: list[int]) -> tuple[dict[str, float], float]:
+    """Weights of terms and the bias, from the distinct words of each document and its label.
+
+    Labels choose the voters' terms and anchor the label model; the classifier learns the label model's posteriors.
+    Terms are made twice, once to count and once to vote, so that only those of one document are held.
+    """
     y = np.array(labels)
     n1, n0 = int(y.sum()), int((y == 0).sum())
     if not n1 or not n0:
         return dict.fromkeys(sorted(SEED), 6.0), -3.0
-    index: dict[str, int] = {}
-    counts: list[list[int]] = [[], []]
-    for t, label in zip(terms, labels, strict=True):
-        for x in t:
-            i = index.setdefault(x, len(index))
-            if i == len(counts[0]):
-                counts[0].append(0)
-                counts[1].append(0)
-            counts[label][i] += 1
-    names = np.array(list(index), object)
-    c0, c1 = np.array(counts[0]), np.array(counts[1])
+    with_1 = Counter(t for words, label in zip(docs, labels, strict=True) if label for t in terms_of(set(words)))
+    with_0: Counter[str] = Counter()
+    common = Counter(w for words, label in zip(docs, labels, strict=True) if not label for w in words)
+    for words, label in zip(docs, labels, strict=True):
+        if not label:
+            with_0.update(t for t in terms_of(set(words)) if t in with_1)
+    only = sorted(w for w in common if w not in with_1)
+    names = np.array([*sorted(with_1), *only], object)
+    c1 = np.array([with_1[x] for x in names])
+    c0 = np.array([with_0[x] if x in with_1 else common[x] for x in names])
     g = evidence(c1, c0, n1, n0)
-    order = sorted(range(len(names)), key=lambda i: (-g[i], names[i]))
-    toxic = [names[i] for i in order if g[i] >= EVIDENCE and c1[i] >= SUPPORT and c1[i] / n1 >= 4 * c0[i] / n0]
+    order = sorted(np.flatnonzero(np.abs(g) >= EVIDENCE).tolist(), key=lambda i: (-g[i], names[i]))
+    toxic = [names[i] for i in order if g[i] > 0 and c1[i] >= SUPPORT and c1[i] / n1 >= 4 * c0[i] / n0]
     words = [x for x in toxic if not x.endswith("*")][:FEATURES]
     patterns = [x for x in toxic if x.endswith("*")][:PATTERNS]
     lexicons = [set() for _ in range(LEXICONS)]
     for x in words:
         lexicons[zlib.crc32(x.encode()) % LEXICONS].add(x)
-    v = votes(terms, lexicons, patterns)
-    model = LabelModel.fit(v, min(max(n1 / (n1 + n0), 0.02), 0.98))
-    soft = model.posterior(v)
-    innocent = [names[i] for i in reversed(order) if g[i] <= -EVIDENCE][: FEATURES // 8]
+    innocent = [names[i] for i in reversed(order) if g[i] < 0][: FEATURES // 8]
     chosen = (toxic[: FEATURES - len(innocent)] + innocent) or sorted(SEED)
+    used = {*chosen, *words, *patterns, *SEED}
+    # a document of other words still has terms: one that nothing else refers to
+    terms = [terms_of(set(d)) & used or ({""} if d else set()) for d in docs]
+    v = votes(terms, lexicons, patterns)
+    model = LabelModel.fit(v, min(max(n1 / (n1 + n0), 0.02), 0.98), known=y)
+    soft = model.posterior(v, LABEL_ODDS * (2.0 * y - 1))
     at = {x: i for i, x in enumerate(chosen)}
-    x = np.zeros((len(terms), len(chosen)))
+    x = np.zeros((len(terms), len(chosen)), np.float32)
     for i, t in enumerate(terms):
         x[i, [at[z] for z in t if z in at]] = 1
     w, b = fit_linear(x, soft)
@@ -226,22 +247,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(found, pa.list_(pa.string())), b.column(2)], ["id", "words", "y"])
 
     got = texts.mapInArrow(words, "id string, words array<string>, y int").dropDuplicates(["id"]).toArrow().sort_by("id")
-    return fit([terms_of(set(x)) for x in got.column("words").to_pylist()], got.column("y").to_pylist())
+    return fit(got.column("words").to_pylist(), got.column("y").to_pylist())
 
 
 class Scorer:
     def __init__(self, model: tuple[dict[str, float], float]) -> None:
         weights, self.bias = model
         self.words = {k: v for k, v in weights.items() if not k.endswith("*")}
-        self.prefixes = [(n, {k[:-1]: v for k, v in weights.items() if k.endswith("*") and len(k) == n + 1}) for n in PREFIXES]
+        heads = {k: v for k, v in weights.items() if k.endswith("*")}
+        self.prefixes = [(n, {k: v for k, v in heads.items() if len(k.rstrip("*")) == n}) for n in PREFIXES]
 
     def __call__(self, text: str) -> float:
         found = words_of(text)
         total = self.bias + sum(sorted(self.words[w] for w in found & self.words.keys()))
         for n, table in self.prefixes:
             if table:
-                heads = {w[:n] for w in found if len(w) > n}
-                total += sum(sorted(table[h] for h in heads & table.keys()))
+                heads = Counter(w[:n] + "*" for w in found if len(w) > n)
+                total += sum(sorted(table[h] for h in heads.keys() & table.keys()))
+                total += sum(sorted(table[h + "*"] for h, k in heads.items() if k > 1 and h + "*" in table))
         return float(1 / (1 + np.exp(-np.clip(total, -500, 500))))
 
 
