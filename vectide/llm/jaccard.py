@@ -8,8 +8,8 @@ with a group's union bounds every similarity inside, and only groups whose bound
    class, cut into groups of bounded size. This only finds links early; nothing relies on it finding all of them.
 3. Matrix: under one order of all tokens (those seen often last), a set's prefix is so long that two sets of
    similarity t must share a token of both prefixes. A group's row is the union of its prefixes, dealt by token range.
-4. Bound: shared tokens are summed for each pair of groups of different classes. Similar members need a number of
-   them that follows from their sizes; other pairs are pruned.
+4. Bound: shared tokens are counted for each pair of groups of different classes. Similar members need a number of
+   them that follows from their sizes; other pairs are pruned, inside a token range if it holds enough of a group.
 5. Qualifying pairs of groups are opened and verified; one link joins two classes.
 """
 
@@ -32,14 +32,15 @@ KEYS, GROUP = 4, 64
 POOL, POOL_BYTES, TRIES = 512, 32 << 20, 16
 #: Pairs of each group that the first rounds open; the last round opens all that are left.
 ROUNDS = (1, 4, 16)
-#: Tokens counted together for frequency, and documents from which on a token is ordered last.
-BLOCK_TOKENS, OFTEN = 1 << 21, 12
-#: Bits of the tables that the executors get (2 and 8 MB whatever the input; a full table only prunes less).
+#: Tokens counted together for frequency, and the numbers of documents from which on a token is ordered later.
+BLOCK_TOKENS, OFTEN = 1 << 21, (6, 12, 24, 48, 96, 384, 1536, 6144)
+#: Bits of the tables that the executors get (2 MB for each step of OFTEN and for keys, 8 MB for ids, whatever the
+#: input; a full table only prunes less).
 BITS, ID_BITS = 24, 26
 #: Keys whose sets are dealt out further, and sets of one dealing.
 HEAVY, DEAL = 4096, 256
-#: Prefix tokens of one token range.
-RANGE_TOKENS = 1 << 20
+#: Prefix tokens of one token range, and tokens of a group there from which on the range bounds the group's pairs.
+RANGE_TOKENS, DENSE = 1 << 20, 3
 BYTES = 1 << 20
 
 
@@ -48,6 +49,15 @@ def prefix_length(n: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
     return n - -(-n * similar // 100) + 1
 
 
+def needed(la: np.ndarray, ha: np.ndarray, lb: np.ndarray, hb: np.ndarray, at: int) -> np.ndarray:
+    """Tokens at least that similar members of two groups share in their prefixes; sizes from la to ha, lb to hb.
+
+    Members of sizes x, y need an overlap of at*(x+y)/(100+at), of which at most ceil(at*size/100)-1 tokens lie
+    outside one of the prefixes.
+    """
+    return np.maximum(1, -(-at * (la + lb) // (100 + at)) + -at * np.maximum(ha, hb) // 100 + 1)
+
+
 def bit_table(df: DataFrame, column: str, bits: int) -> np.ndarray:
     """A table of 2**bits bits with those of the top bits of each 64-bit value set. At most 2**(bits-6) rows come back."""
     at = F.shiftrightunsigned(F.col(column), 64 - bits)
@@ -63,6 +73,23 @@ def bit_table(df: DataFrame, column: str, bits: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def bit_tables(df: DataFrame, column: str, steps: str, bits: int) -> np.ndarray:
+    """A table as of bit_table for each bit of the column ``steps``. At most 2**(bits-6) rows come back."""
+    at = F.shiftrightunsigned(F.col(column), 64 - bits)
+    each = [F.when(F.col(steps).bitwiseAND(1 << i) != 0, F.expr("shiftleft(1L, cast(__at & 63 as int))")).otherwise(0) for i in range(len(OFTEN))]
+    words = (
+        df.select(steps, at.alias("__at"))
+        .select(F.shiftrightunsigned("__at", 6).alias("w"), *(e.alias(f"b{i}") for i, e in enumerate(each)))
+        .groupBy("w")
+        .agg(*(F.bit_or(f"b{i}").alias(f"b{i}") for i in range(len(OFTEN))))
+        .toArrow()
+    )
+    out = np.zeros((len(OFTEN), 1 << (bits - 6)), np.int64)
+    for i in range(len(OFTEN)):
+        out[i, words.column("w").to_numpy()] = words.column(f"b{i}").to_numpy()
+    return out.view(np.uint64)
+
+
 def in_bits(table: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
     at = values >> U(64 - bits)
     return (table[at >> U(6)] >> (at & U(63))) & U(1) == 1
@@ -261,30 +288,30 @@ def _prefixes(texts, k, reps, often):
             seen: set = set()
             for b in batches:
                 for one, t in _representatives(b, k, reps.value, seen):
-                    last = in_bits(often.value, t, BITS)
+                    step = sum(in_bits(x, t, BITS).astype(np.int8) for x in often.value)
                     p = int(prefix_length(np.int64(len(t))))
-                    rare = t[~last]
-                    if len(rare) < p:
-                        rare = np.concatenate((rare, t[last][: p - len(rare)]))
-                    yield one, np.sort(rare[:p]).tobytes()
+                    yield one, np.sort(t[np.argsort(step, kind="stable")[:p]]).tobytes()
 
         yield from _batched(rows(), schema, lambda r: len(r[1]))
 
     return texts.mapInArrow(emit, "sid long, prefix binary")
 
 
-MATRIX = "range int, root array<long>, part array<int>, low array<long>, high array<long>, held array<int>, tokens binary"
+MATRIX = "range int, root array<long>, part array<int>, low array<long>, high array<long>, size array<long>, dense array<long>, held array<int>, tokens binary"
 
 
 def _matrix(rows: DataFrame, n_ranges: int) -> DataFrame:
-    """Rows of the matrix by token range: for each group its tokens of the range. Input: sorted by group."""
+    """Rows of the matrix by token range: each group's tokens of the range, and their number in all and in dense ranges.
+
+    Input: sorted by group.
+    """
 
     def make(batches):
         import pyarrow as pa
 
         schema = [
             ("range", pa.int32()), ("root", pa.list_(pa.int64())), ("part", pa.list_(pa.int32())), ("low", pa.list_(pa.int64())),
-            ("high", pa.list_(pa.int64())), ("held", pa.list_(pa.int32())), ("tokens", pa.binary()),
+            ("high", pa.list_(pa.int64())), ("size", pa.list_(pa.int64())), ("dense", pa.list_(pa.int64())), ("held", pa.list_(pa.int32())), ("tokens", pa.binary()),
         ]
 
         def flush(groups):
@@ -294,12 +321,15 @@ def _matrix(rows: DataFrame, n_ranges: int) -> DataFrame:
             order = np.lexsort((which, at))
             tokens, which, at = tokens[order], which[order], at[order]
             cuts = np.searchsorted(at, np.arange(n_ranges + 1))
+            start = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (at[1:] != at[:-1]))))
+            own, held = which[start], np.diff(np.concatenate((start, [len(which)])))
+            dense = np.bincount(own, np.where(held >= DENSE, held, 0), len(groups)).astype(np.int64)
+            rows = np.searchsorted(start, cuts)
             for r in range(n_ranges):
-                a, b = cuts[r], cuts[r + 1]
-                if a < b:
-                    own, held = np.unique(which[a:b], return_counts=True)
-                    g = [groups[i] for i in own]
-                    yield r, [x[0] for x in g], [x[1] for x in g], [x[2] for x in g], [x[3] for x in g], held, tokens[a:b].tobytes()
+                i, j = rows[r], rows[r + 1]
+                if i < j:
+                    g = [groups[x] for x in own[i:j]]
+                    yield r, *([x[c] for x in g] for c in range(4)), [len(x[4]) for x in g], dense[own[i:j]], held[i:j], tokens[cuts[r] : cuts[r + 1]].tobytes()
 
         def out():
             groups, total, now, members = [], 0, None, []
@@ -325,32 +355,42 @@ def _matrix(rows: DataFrame, n_ranges: int) -> DataFrame:
             if groups:
                 yield from flush(groups)
 
-        yield from _batched(out(), schema, lambda r: len(r[6]) + 28 * len(r[1]))
+        yield from _batched(out(), schema, lambda r: len(r[8]) + 44 * len(r[1]))
 
     return rows.mapInArrow(make, MATRIX)
 
 
-SHARED = "ra long, pa int, rb long, pb int, la long, ha long, lb long, hb long, n long"
+SHARED = "ra long, pa int, rb long, pb int, size long, n long, least long"
 
 
 def _shared(matrix: DataFrame, n_ranges: int, at: int) -> DataFrame:
-    """Tokens that two groups of different classes share, summed for each range."""
+    """Tokens of a range that two groups of different classes share, where they are enough.
+
+    Groups that hold similar members share ``need`` tokens over all ranges. A range that holds at least DENSE tokens of
+    the smaller group is due its part of ``need``, by its part of that group's tokens, and reports a pair only if it
+    reaches that; any other range reports all it has. What a range reports is its count less the most that it could
+    have passed over. Dense ranges can have passed over no more than their parts, so the reports of a pair that
+    qualifies add up to ``least``, the parts of ``need`` due from the other ranges. Thus a few large ranges rule out
+    most pairs before the shuffle, and the sum over many small ones rules them out behind it.
+    """
 
     def count(batches):
         import pyarrow as pa
 
-        cols = [[] for _ in range(6)]
+        cols = [[] for _ in range(8)]
         for b in batches:
             for row in b.to_pylist():
                 cols[0].append(np.array(row["root"], np.int64))
                 cols[1].append(np.array(row["part"], np.int64))
                 cols[2].append(np.array(row["low"], np.int64))
                 cols[3].append(np.array(row["high"], np.int64))
-                cols[4].append(np.array(row["held"], np.int64))
-                cols[5].append(np.frombuffer(row["tokens"], U))
+                cols[4].append(np.array(row["size"], np.int64))
+                cols[5].append(np.array(row["dense"], np.int64))
+                cols[6].append(np.array(row["held"], np.int64))
+                cols[7].append(np.frombuffer(row["tokens"], U))
         if not cols[0]:
             return
-        root, part, low, high, held, tokens = (np.concatenate(c) for c in cols)
+        root, part, low, high, whole, dense, held, tokens = (np.concatenate(c) for c in cols)
         which = np.repeat(np.arange(len(root)), held)
         order = np.lexsort((which, tokens))
         tokens, which = tokens[order], which[order]
@@ -386,16 +426,22 @@ def _shared(matrix: DataFrame, n_ranges: int, at: int) -> DataFrame:
         if parts:
             pairs, counts = _merged(parts)
             a, b = pairs // len(root), pairs % len(root)
+            less = np.where((whole[a] < whole[b]) | ((whole[a] == whole[b]) & (dense[a] <= dense[b])), a, b)
+            need = needed(low[a], high[a], low[b], high[b], at)
+            due = np.where(held[less] >= DENSE, -(-need * held[less] // whole[less]), 1)
+            least = np.maximum(1, -(-need * (whole[less] - dense[less]) // whole[less]))
+            enough = counts >= due
+            a, b, n, least = a[enough], b[enough], (counts - due + 1)[enough], least[enough]
             names = [x.split(" ")[0] for x in SHARED.split(", ")]
             for i in range(0, len(a), 65536):
-                x, y = a[i : i + 65536], b[i : i + 65536]
+                x, y, own = a[i : i + 65536], b[i : i + 65536], slice(i, i + 65536)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(root[x]), pa.array(part[x].astype(np.int32)), pa.array(root[y]), pa.array(part[y].astype(np.int32)),
-                        pa.array(low[x]), pa.array(high[x]), pa.array(low[y]), pa.array(high[y]), pa.array(counts[i : i + 65536].astype(np.int64)),
+                        pa.array(high[x] + high[y]), pa.array(n[own]), pa.array(least[own]),
                     ],
                     names,
-                )
+                )
 
     return matrix.repartitionById(n_ranges, "range").mapInArrow(count, SHARED)
 
@@ -523,9 +569,10 @@ def jaccard_classes(
     )
     often = (
         seen.filter("often is not null").select(F.explode(F.arrays_zip("often", "seen")).alias("x"))
-        .groupBy(F.col("x.often").alias("token")).agg(F.sum("x.seen").alias("n")).filter(F.col("n") >= OFTEN)
+        .groupBy(F.col("x.often").alias("token")).agg(F.sum("x.seen").alias("n")).filter(F.col("n") >= OFTEN[0])
+        .select("token", sum(F.when(F.col("n") >= n, 1 << i).otherwise(0) for i, n in enumerate(OFTEN)).alias("steps"))
     )
-    often = sc.broadcast(bit_table(often, "token", BITS))
+    often = sc.broadcast(bit_tables(often, "token", "steps", BITS))
     reps = sc.broadcast(bit_table(sets, "hid", ID_BITS))
     keyed = sets.select(F.explode("keys").alias("key"), "sid").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("first"))
     keyed = scratch.keep(keyed.filter("n > 1"), "keys")
@@ -545,19 +592,16 @@ def jaccard_classes(
         "groups",
     )
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    n_ranges = int(max(parts, min(1 << 16, total // 4 // RANGE_TOKENS + 1)))
+    n_ranges = int(min(1 << 16, total // 4 // RANGE_TOKENS + 1))
     members = (
         _prefixes(texts, k, reps, often).join(groups.select(F.col("sid").alias("__sid"), "n", "root", "part"), F.col("sid") == F.col("__sid"))
         .select("root", "part", "n", "prefix").repartition(parts, "root", "part").sortWithinPartitions("root", "part")
     )
     counted = _shared(_matrix(members, n_ranges), n_ranges, at)
-    # two members of sizes x, y need an overlap of at*(x+y)/(100+at), of which at most ceil(at*size/100)-1 tokens lie
-    # outside one of the prefixes
-    need = F.ceil(F.lit(at) * (F.col("la") + F.col("lb")) / F.lit(100 + at)) - F.ceil(F.lit(at) * F.greatest("ha", "hb") / F.lit(100)) + 1
     pairs = (
-        counted.groupBy("ra", "pa", "rb", "pb").agg(*(F.first(c).alias(c) for c in ("la", "ha", "lb", "hb")), F.sum("n").alias("n"))
-        .filter(F.col("n") >= need)
-        .select("ra", "pa", "rb", "pb", F.xxhash64("ra", "pa", "rb", "pb").alias("pair"), (F.col("n") / (F.col("ha") + F.col("hb"))).alias("score"))
+        counted.groupBy("ra", "pa", "rb", "pb").agg(F.sum("n").alias("n"), F.max("least").alias("least"), F.max("size").alias("size"))
+        .filter(F.col("n") >= F.col("least"))
+        .select("ra", "pa", "rb", "pb", F.xxhash64("ra", "pa", "rb", "pb").alias("pair"), (F.col("n") / F.col("size")).alias("score"))
     )
     pairs = scratch.keep(pairs, "pairs")
     sides = _sides(pairs, "pair", "score")
