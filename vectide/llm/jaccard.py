@@ -39,8 +39,9 @@ BLOCK_TOKENS, OFTEN = 1 << 21, (6, 12, 24, 48, 96, 384, 1536, 6144)
 BITS, ID_BITS = 24, 26
 #: Keys whose sets are dealt out further, and sets of one dealing.
 HEAVY, DEAL = 4096, 256
-#: Prefix tokens of one token range, and tokens of a group there from which on the range bounds the group's pairs.
-RANGE_TOKENS, DENSE = 1 << 20, 3
+#: Prefix tokens of one token range, tokens of a group there from which on the range bounds the group's pairs, and the
+#: quarters of its part that a pair has to reach there.
+RANGE_TOKENS, DENSE, QUARTERS = 1 << 20, 3, 2
 BYTES = 1 << 20
 
 
@@ -368,9 +369,9 @@ def _shared(matrix: DataFrame, n_ranges: int, at: int) -> DataFrame:
 
     Groups that hold similar members share ``need`` tokens over all ranges. A range that holds at least DENSE tokens of
     the smaller group is due its part of ``need``, by its part of that group's tokens, and reports a pair only if it
-    reaches that; any other range reports all it has. What a range reports is its count less the most that it could
-    have passed over. Dense ranges can have passed over no more than their parts, so the reports of a pair that
-    qualifies add up to ``least``, the parts of ``need`` due from the other ranges. Thus a few large ranges rule out
+    reaches QUARTERS of that; any other range reports all it has. What a range reports is its count less the most that it could
+    have passed over. Dense ranges can have passed over no more than those quarters, so the reports of a pair that
+    qualifies add up to ``least``, the rest of ``need``. Thus a few large ranges rule out
     most pairs before the shuffle, and the sum over many small ones rules them out behind it.
     """
 
@@ -428,8 +429,8 @@ def _shared(matrix: DataFrame, n_ranges: int, at: int) -> DataFrame:
             a, b = pairs // len(root), pairs % len(root)
             less = np.where((whole[a] < whole[b]) | ((whole[a] == whole[b]) & (dense[a] <= dense[b])), a, b)
             need = needed(low[a], high[a], low[b], high[b], at)
-            due = np.where(held[less] >= DENSE, -(-need * held[less] // whole[less]), 1)
-            least = np.maximum(1, -(-need * (whole[less] - dense[less]) // whole[less]))
+            due = np.where(held[less] >= DENSE, -(-need * held[less] * QUARTERS // (4 * whole[less])), 1)
+            least = np.maximum(1, -(-need * (4 * whole[less] - QUARTERS * dense[less]) // (4 * whole[less])))
             enough = counts >= due
             a, b, n, least = a[enough], b[enough], (counts - due + 1)[enough], least[enough]
             names = [x.split(" ")[0] for x in SHARED.split(", ")]
