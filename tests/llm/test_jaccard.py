@@ -75,6 +75,21 @@ def test_no_early_link_is_needed(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_full_bit_tables_lose_no_set(spark, monkeypatch, tmp_path):
+    """Every id passes a full table; copies come before the first of their set, in descending order over several files."""
+    import numpy as np
+
+    monkeypatch.setattr(J, "bit_table", lambda df, column, bits: np.full(1 << (bits - 6), -1, np.int64).view(np.uint64))
+    rows = corpus(4, 12, 3)
+    texts = [r[1] for r in rows if r[1] and r[1].strip()]
+    rows += [(1000 * c + i, t, 1, "x", "y") for c in (1, 2, 3) for i, t in enumerate(texts)]
+    rows.sort(key=lambda r: -r[0])
+    for f in range(3):
+        spark.createDataFrame(rows[f::3], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/t/f{f}")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_classes(spark.read.parquet(*(f"{tmp_path}/t/f{f}" for f in range(3)))).collect()}
+    assert got == brute(rows)
+
+
 def test_odd_rows(spark):
     text = "a b c d e f g h i j"
     rows = [(5, text), (5, text), (None, text), (7, text.upper()), (None, "other words"), (None, None), (9, "a b"), (8, "A  b"), (10, "b a")]

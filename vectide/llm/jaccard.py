@@ -171,7 +171,11 @@ def features(texts: DataFrame, k: int) -> DataFrame:
 
 
 def _representatives(batch, k, wanted, seen: set):
-    """(id, tokens) of texts that may be the first of their set; wanted: bits of such ids."""
+    """(id, tokens) of texts that may be the first of their set; wanted: bits of such ids.
+
+    A copy whose id shares its bit with such an id comes too, so what was seen is marked with its id: a copy never
+    stands in for the first, and costs a row that a join on sid drops.
+    """
     ids = batch.column(0)
     for part, tokens, bounds in _sets(batch, k):
         own = ids.slice(part.start, len(bounds) - 1)
@@ -180,7 +184,7 @@ def _representatives(batch, k, wanted, seen: set):
         good &= np.diff(bounds) > 0
         for i in np.flatnonzero(good):
             t = tokens[bounds[i] : bounds[i + 1]]
-            mark = (len(t), int(np.bitwise_xor.reduce(t)), int(t[0]))
+            mark = (int(values[i]), len(t), int(np.bitwise_xor.reduce(t)), int(t[0]))
             if mark not in seen:
                 if len(seen) < 1 << 18:
                     seen.add(mark)
