@@ -54,6 +54,47 @@ def test_prefixes_keep_the_weights(spark, block):
     assert all(len(s) == 1 for s in last.values()) and sum(seen.values()) > 20
 
 
+def off(weights, blocks):
+    """The furthest that a source is from its weight, in blocks, after any slot of the mix; and the slots of the mix."""
+    total = sum(Fraction(str(w)) for w in weights.values())
+    target = {k: Fraction(str(w)) / total for k, w in weights.items()}
+    done, worst, n = Counter(), 0, 0
+    for k, _, release, due, slot, mixed in M.run_schedule(M.whole_weights(weights), blocks):
+        assert release <= slot < due
+        if mixed:
+            assert slot == n
+            n += 1
+            done[k] += 1
+            worst = max(worst, *(abs(done[q] - t * n) for q, t in target.items()))
+    return worst, n
+
+
+@pytest.mark.parametrize("others", [19, 299, 1100])
+def test_target_weight_holds_among_many_sources(others):
+    weights = {"big": 0.9} | {f"s{i}": 0.1 / others for i in range(others)}
+    worst, n = off(weights, {k: 4000 if k == "big" else 400 // others + 1 for k in weights})
+    assert worst < 1 and n > 900
+
+
+def test_target_weight_holds_beyond_a_period():
+    counts = {"big": 40_000} | {f"s{i}": 3000 + 97 * i for i in range(19)}
+    worst, n = off({k: v**M.TEMPERATURE for k, v in counts.items()}, {k: -(-v // 4) for k, v in counts.items()})
+    assert worst < 1 and n > 10 * M.PERIOD
+
+
+def test_mixed_rows_follow_the_target(spark, monkeypatch):
+    monkeypatch.setattr(M, "PART", 50)
+    weights = {"big": 0.9, "none": 0.0} | {f"s{i}": 0.1 / 19 for i in range(19)}
+    rows = [(i, "big", "", "") for i in range(600)] + [(1000 + i, f"s{i % 19}", "", "") for i in range(76)] + [(9000 + i, "none", "", "") for i in range(5)]
+    got = mixed(spark, rows, weights=weights, block_rows=2)
+    assert [r.position for r in got] == list(range(len(rows))) and sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    assert [r.source for r in got[-5:]] == ["none"] * 5
+    inside = [r for r in got if r.in_mix]
+    assert len(inside) > 300 and got[: len(inside)] == inside
+    for n in range(1, len(inside) + 1):
+        assert abs(sum(r.source == "big" for r in inside[:n]) - 0.9 * n) <= 2 + 1e-9
+
+
 def test_defaults_and_empty(spark):
     assert mixed(spark, []) == []
     got = mixed(spark, [(i, "a" if i % 3 else "b", "", "") for i in range(90)])

@@ -3,36 +3,50 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, chunks_for, running_totals, table
 
-#: Integer shares that the weights are rounded to. The schedule repeats after this many slots.
+#: Slots that the column ``share`` refers to; the schedule itself follows the exact weights.
 PERIOD = 1000
 #: Documents in a block.
 BLOCK_ROWS = 4
 #: Default target weights: a source's rows to this power, so that small sources count for more than their size.
 TEMPERATURE = 0.5
+#: Blocks that the driver schedules before it hands them on.
+PART = 1 << 17
+#: Slots beyond this, which only tiny weights reach after the mix, are written as this.
+MOST = 1 << 62
 
 
 def shares(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole shares that add up to the period (or to the number of sources, if there are more), each at least 1."""
+    """Whole shares that add up to the period, each less than one from the exact share."""
     names = sorted(k for k, v in weights.items() if v > 0)
     if not names:
         return {}
-    period = max(period, len(names))
-    total = sum(weights[k] for k in names)
-    free = period - len(names)
-    exact = {k: weights[k] / total * free for k in names}
-    out = {k: 1 + int(exact[k]) for k in names}
-    for k in sorted(names, key=lambda k: (int(exact[k]) - exact[k], k))[: period - sum(out.values())]:
+    whole = whole_weights({k: weights[k] for k in names})
+    total = sum(whole.values())
+    out = {k: whole[k] * period // total for k in names}
+    for k in sorted(names, key=lambda k: (-(whole[k] * period % total), k))[: period - sum(out.values())]:
         out[k] += 1
     return out
 
 
+def whole_weights(weights: Mapping[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the ratio of the weights as they are written in decimal."""
+    exact = {k: Fraction(str(v)) for k, v in weights.items()}
+    up = math.lcm(*(v.denominator for v in exact.values()))
+    out = {k: v.numerator * (up // v.denominator) for k, v in exact.items()}
+    down = math.gcd(*out.values())
+    return {k: v // down for k, v in out.items()}
+
+
 def period_schedule(parts: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
     """(source, block, release, deadline, slot) for one period of sum(parts) slots, one block a slot.
 
@@ -57,6 +71,33 @@ def period_schedule(parts: Mapping[str, int]) -> list[tuple[str, int, int, int,
     return out
 
 
+def run_schedule(parts: Mapping[str, int], blocks: Mapping[str, int]) -> Iterator[tuple[str, int, int, int, int, bool]]:
+    """(source, block, release, deadline, slot, in_mix) of all blocks in slot order, as in period_schedule().
+
+    The mix ends at the slot that a source with no block left would get next. From there on such sources take no
+    slots, and a slot in which no block is released stays empty. Holds one entry per source.
+    """
+    total = sum(parts.values())
+    waiting = [(0, k, 0) for k in parts]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, str, int, int]] = []
+    slot, mixed = 0, True
+    while waiting or ready:
+        if not ready:  # a later release comes up only after the mix
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            release, k, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * total // parts[k]), k, j, release))
+        due, k, j, release = heapq.heappop(ready)
+        if j == blocks[k]:
+            mixed = False
+            continue
+        yield k, j, release, due, slot, mixed
+        slot += 1
+        if j < blocks[k] - 1 or mixed:
+            heapq.heappush(waiting, ((j + 1) * total // parts[k], k, j + 1))
+
+
 def mix(
     docs: DataFrame,
     weights: Mapping[str, float] | None = None,
@@ -68,14 +109,17 @@ def mix(
 ) -> DataFrame:
     """One row per input row: id, source, share, block, release, deadline, slot, in_mix, position.
 
-    The rows of a source, in the order of a hash of their id, form blocks of ``block_rows``. Block b runs in the slot
-    of the repeated period schedule. ``position`` numbers all rows gapless in slot order. While every source still
-    has blocks (``in_mix``), any prefix holds each source to within one block of its weight; later rows keep their
-    order and close up the gaps, so no row is lost or repeated. A null source is a source of its own, named by the
-    empty string. Sources without a weight get the smallest share. Without ``weights``, a source weighs its rows to
-    the power TEMPERATURE. Null ids and repeated rows are rows like any other; an empty table gives no rows.
-
-    DataFrame operations only; the driver holds one row per source and one period of the schedule.
+    The rows of a source, in the order of a hash of their id, form blocks of ``block_rows``. Blocks run in the slots
+    of run_schedule(), which follows the exact weights over the whole run. ``position`` numbers all rows gapless in
+    slot order, ``share`` is the weight in whole shares of ``period``. While every source still has blocks
+    (``in_mix``), any prefix holds each source to within one block of its weight; later rows keep their order, so no
+    row is lost or repeated. A null source is a source of its own, named by the empty string. Sources that ``weights``
+    does not name weigh as much as the least that it does; those of weight 0 take no part and come last, with no
+    release or deadline (if no weight is above 0, all weigh the same). Without ``weights``, a source weighs its rows
+    to the power TEMPERATURE. Null ids and repeated rows are rows like any other; an empty table gives no rows.
+
+    DataFrame operations only; the driver holds one row per source and PART blocks of the schedule, which it computes
+    block by block.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "mix")
@@ -85,50 +129,49 @@ def mix(
     )
     counts = {r["__src"]: r["n"] for r in keys.groupBy("__src").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = sum(counts.values())
-    given = {k: n**TEMPERATURE for k, n in counts.items()} if weights is None else {k: max(0.0, weights.get(k, 0.0)) for k in counts}
-    least = min((v for v in given.values() if v > 0), default=1.0)
-    parts = shares({k: v or least for k, v in given.items()}, period)
-    total = max(1, sum(parts.values()))
-    plan = period_schedule(parts)
-    ends = [-(-counts[k] // block_rows) for k in parts]
-    # the first slot at which some source has no block left
-    per = {k: sorted(s for q, _, _, _, s in plan if q == k) for k in parts}
-    dry = min((e // parts[k] * total + per[k][e % parts[k]] for k, e in zip(parts, ends, strict=True)), default=0)
-    names = {k: i for i, k in enumerate(parts)}
-    flat = spark.createDataFrame(
-        [(k, parts[k], j, r, d, s) for k, j, r, d, s in plan] or [("", 1, 0, 0, 0, 0)],
-        "__s string, share int, __j long, __r long, __d long, __slot long",
-    )
-    del names
-    n_chunks = chunks_for(rows)
-    keys = keys.withColumn("__h", F.xxhash64("__id")).withColumn("__chunk", F.pmod("__h", F.lit(n_chunks)).cast("int"))
-    ranked = running_totals(keys, ["__src"], "__chunk", ["__h", "__id"], "__i")
-    block = F.floor(F.col("__i") / F.lit(block_rows)).cast("long")
-    # the schedule has `period` rows at most, or one per source
-    placed = (
-        ranked.withColumn("block", block)
-        .join(F.broadcast(flat), (F.col("__src") == F.col("__s")) & (F.pmod("block", "share") == F.col("__j")))
-        .withColumn("__cycle", F.expr("block div share"))
-        .select(
-            "__id", "__src", "share", "block",
-            (F.col("__r") + F.col("__cycle") * total).alias("release"),
-            (F.col("__d") + F.col("__cycle") * total).alias("deadline"),
-            (F.col("__slot") + F.col("__cycle") * total).alias("slot"),
-            "__i",
-        )
-    )
-    placed = scratch.keep(placed, "placed")
-    last = placed.agg(F.max("slot")).first()[0] or 0
-    span = max(1, -(-(last + 1) // n_chunks))
-    placed = placed.withColumn("__chunk", F.expr(f"cast(slot div {span} as int)"))
-    return running_totals(placed, [], "__chunk", ["slot", "__i"], "position").select(
+    if weights is None:
+        given = {k: n**TEMPERATURE for k, n in counts.items()}
+    else:
+        least = min((weights[k] for k in counts if weights.get(k, 0) > 0), default=0.0)
+        given = {k: max(0.0, weights.get(k, least)) for k in counts}
+    if not any(given.values()):
+        given = dict.fromkeys(counts, 1.0)
+    flat = _schedule(scratch, given, counts, period, block_rows)
+    keys = keys.withColumn("__h", F.xxhash64("__id")).withColumn("__chunk", F.pmod("__h", F.lit(chunks_for(rows))).cast("int"))
+    ranked = running_totals(keys, ["__src"], "__chunk", ["__h", "__id"], "__i").withColumn("__b", F.expr(f"__i div {block_rows}"))
+    return ranked.join(flat, (F.col("__src") == F.col("__s")) & (F.col("__b") == F.col("block"))).select(
         F.col("__id").alias(id_col),
         F.col("__src").alias(source_col),
-        "share", "block", "release", "deadline", "slot",
-        (F.col("slot") < F.lit(dry)).alias("in_mix"),
-        "position",
+        "share", "block", "release", "deadline", "slot", "in_mix",
+        (F.col("__first") + F.col("__i") % block_rows).alias("position"),
     )
 
 
+def _schedule(scratch: Scratch, given: Mapping[str, float], counts: Mapping[str, int], period: int, block_rows: int) -> DataFrame:
+    """A row per block, with the position of its first row; written in parts of bounded size."""
+    blocks = {k: -(-n // block_rows) for k, n in counts.items()}
+    own = {k: v for k, v in given.items() if v > 0}
+    parts, share = (whole_weights(own) if own else {}), shares(own, period)
+
+    def rows():
+        first = end = 0
+        for k, j, release, due, slot, mixed in run_schedule(parts, blocks):
+            yield k, share[k], j, min(release, MOST), min(due, MOST), min(slot, MOST), mixed, first
+            first += min(block_rows, counts[k] - j * block_rows)
+            end = slot + 1
+        for k in sorted(set(blocks) - set(own)):
+            for j in range(blocks[k]):
+                yield k, 0, j, None, None, min(end, MOST), False, first
+                first += min(block_rows, counts[k] - j * block_rows)
+                end += 1
+
+    spark, todo, out = scratch.spark, rows(), None
+    schema = "__s string, share int, block long, release long, deadline long, slot long, in_mix boolean, __first long"
+    while (part := list(islice(todo, PART))) or out is None:
+        kept = scratch.keep(spark.createDataFrame(part, schema), "schedule")
+        out = kept if out is None else out.unionByName(kept)
+    return out
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
