@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectide.llm import decontaminate, jaccard, mixing, tokenout
@@ -19,16 +19,39 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxic.keep_clean(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """A long per row with an id, equal where id and text are: the id itself, unless some id comes with two texts."""
+    keyed = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("t"))
+    if not keyed.groupBy("doc_id").agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a <> b").limit(1).count():
+        return F.col("doc_id").cast("long")
+    seed = 0
+    while True:  # another seed if two ids or two texts share a key
+        key = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit(seed), "doc_id", "text"))
+        keyed = docs.filter("doc_id is not null").select(key.alias("k"), "doc_id", F.xxhash64("text").alias("t"))
+        ends = keyed.groupBy("k").agg(*(f(c).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in ("doc_id", "t")))
+        if not ends.filter("min_doc_id <> max_doc_id or min_t <> max_t").limit(1).count():
+            return key
+        seed += 1
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of similar texts stays: that of the smallest id."""
+    """One document of each class of similar texts stays: that of the smallest id.
+
+    Repeats of an id with the same text are one document, those with another text are documents of their own. Rows
+    without an id all stay.
+    """
     scratch = Scratch(spark, "dedup")
-    classes = scratch.keep(jaccard.jaccard_classes(docs, scratch=scratch), "classes")
-    first = classes.filter("component_id is null or component_id = doc_id or doc_id is null")
-    kept = first.select(F.col("doc_id").alias("__id"), F.col("component_id").isNull().alias("__free")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    if classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(*COLUMNS)
+    keyed = docs.withColumn("__row", _row_key(docs))
+    classes = scratch.keep(jaccard.jaccard_classes(keyed, id_col="__row", scratch=scratch), "classes")
+    classes = classes.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("__n"))
+    named = keyed.filter("doc_id is not null").groupBy("__row").agg(F.min("doc_id").alias("__id"))
+    first = classes.join(named, F.col("doc_id") == F.col("__row")).groupBy("component_id").agg(F.min(F.struct("__id", "__row", "__n")).alias("x"))
+    first = scratch.keep(first.select(F.col("x.__row").alias("__kept"), F.col("x.__n").alias("__n")), "first")
+    once = keyed.join(first.filter("__n = 1"), F.col("__row") == F.col("__kept"), "left_semi").select(*COLUMNS)
+    again = keyed.join(first.filter("__n > 1"), F.col("__row") == F.col("__kept"), "left_semi")
+    # repeats may differ in other columns: the least of them stays, so that each run keeps the same one
+    again = again.groupBy("__row").agg(F.min(F.struct(*COLUMNS)).alias("x")).select("x.*")
+    return once.unionByName(again).unionByName(keyed.filter("doc_id is null").select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

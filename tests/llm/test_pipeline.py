@@ -44,3 +44,17 @@ def test_repeated_rows_leave_one(spark):
     rows = [(1, "a b c d e f g", "en", "s", 13), (1, "a b c d e f g", "en", "s", 13), (2, "a b c d e f g", "en", "s", 13), (3, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in P.near_duplicates(spark, docs, SF).collect()) == [1, 3]
+
+
+def test_repeated_ids_lose_no_other_text(spark):
+    same, other, third = "a b c d e f g", "quite another text of some words", "nothing like the rest at all here"
+    rows = [
+        (1, same, "en", "s", 13), (1, same, "en", "s", 13), (2, same, "en", "s", 13),
+        (5, same, "en", "s", 13), (5, other, "en", "s", 32), (5, other, "de", "s", 32), (5, third, "en", "s", 33), (3, third, "en", "s", 33),
+        (None, "one", "en", "s", 3), (None, "two", "en", "s", 3), (None, "two", "en", "s", 3), (None, None, None, None, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for d in (docs, docs.repartition(3)):
+        got = sorted(((r.doc_id, r.text, r.lang) for r in P.near_duplicates(spark, d, SF).collect()), key=str)
+        kept = [(1, same, "en"), (3, third, "en"), (5, other, "de"), (None, "one", "en"), (None, "two", "en"), (None, "two", "en"), (None, None, None)]
+        assert got == sorted(kept, key=str)
