@@ -78,3 +78,47 @@ def test_forest_keeps_components():
     a, b = np.array([5, 7, 9, 1]), np.array([7, 9, 5, 2])
     x, y = H._forest(a, b)
     assert sorted(zip(x.tolist(), y.tolist(), strict=True)) == [(2, 1), (7, 5), (9, 5)]
+
+
+class Blind(H.Graph):
+    """Finds nothing but a vector itself unless the beam is wide."""
+
+    def within(self, q, least, beam):
+        near = q @ self.unit.T
+        return np.nonzero(near >= (least if beam > self.narrow else 1 - 1e-6))
+
+
+@pytest.mark.parametrize("pairs", [0, 20, 600])
+def test_audit_counts_no_self_hits(pairs):
+    r = np.random.default_rng(5)
+    v = r.normal(size=(2000, 32))
+    v[1000 : 1000 + pairs] = v[:pairs] + r.normal(size=(pairs, 32)) * 0.05
+    g = Blind(H._unit(v))
+    g.narrow = H.BEAM
+    beam, share = g.audited_beam(H.SIMILAR)
+    assert beam > H.BEAM and share >= H.RECALL
+    g.narrow = H.SAFE_BEAM
+    assert g.audited_beam(H.SIMILAR)[0] > H.SAFE_BEAM
+
+
+def test_audit_asks_other_shards_and_late_nodes():
+    r = np.random.default_rng(6)
+    v = r.normal(size=(4000, 32))
+    g = Blind(H._unit(v))
+    late = g.order[-1500:]
+    other = H._unit(v[late[:600]] + r.normal(size=(600, 32)) * 0.05)
+    g.narrow = H.BEAM
+    beam, share = g.audited_beam(H.SIMILAR, others=other)
+    assert beam > H.BEAM and share >= H.RECALL
+    g.unit[late[:700]] = g.unit[late[700:1400]]  # links of late nodes only
+    assert g.audited_beam(H.SIMILAR)[0] > H.BEAM
+
+
+def test_rare_pairs_are_found(spark):
+    r = np.random.default_rng(7)
+    v = r.normal(size=(3000, 48))
+    v[1500:1530] = v[:30] + r.normal(size=(30, 48)) * 0.2
+    near, _ = brute(v)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {x.vec_id: x.n_links for x in H.near_duplicates(df, shard_rows=1000).collect()}
+    assert [got[i] for i in range(len(v))] == near.sum(1).tolist()

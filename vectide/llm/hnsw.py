@@ -15,8 +15,10 @@ from .common import Scratch, components, small_batches, table
 SIMILAR, SHARD, LINKS = 0.95, 65536, 12
 #: Beam while building, first beam while searching, nodes expanded in a step, queries searched together.
 BUILD_BEAM, BEAM, EXPAND, TOGETHER = 48, 48, 4, 256
-#: Vectors of a shard that its audit checks by brute force, and the recall that it must reach.
+#: Vectors of a shard, and of all others, that its audit checks by brute force, and the recall that it must reach.
 AUDIT, RECALL = 1024, 0.995
+#: Links that an audit must rest on, and the first beam where there are fewer.
+LEAST_LINKS, SAFE_BEAM = 400, 384
 #: Single precision may be off by so much; verification is in double precision.
 SLACK = 1e-5
 
@@ -193,21 +195,46 @@ class Graph:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def audited_beam(self, least: float, recall: float = RECALL, sample: int = AUDIT) -> tuple[int, float]:
-        """The first beam whose hits hold ``recall`` of those that brute force finds for a sample of the shard."""
+    def audited_beam(self, least: float, recall: float = RECALL, sample: int = AUDIT, others: np.ndarray | None = None) -> tuple[int, float]:
+        """The first beam whose hits hold ``recall`` of the links that brute force finds, and the share that it holds.
+
+        Asked are nodes drawn evenly over the order of insertion, whose hits with themselves do not count, and
+        ``others``, vectors that are not in the shard. If they have fewer than LEAST_LINKS links, the first beam is
+        SAFE_BEAM, and vectors made at just ``least`` from each drawn node must find that node as well.
+        """
         n = len(self.unit)
-        picked = self.order[: min(sample, n)]
-        true = 0
-        for lo in range(0, len(picked), 64):
-            true += int((self.unit[picked[lo : lo + 64]] @ self.unit.T >= least).sum())
-        beam = BEAM
+        picked = self.order[np.arange(min(sample, n)) * n // max(1, min(sample, n))]
+        q, own = self.unit[picked], picked.astype(np.int64)
+        if others is not None and len(others):
+            q, own = np.concatenate((q, others)), np.concatenate((own, np.full(len(others), -1)))
+
+        def links(q):
+            pairs = [np.nonzero(q[lo : lo + 64] @ self.unit.T >= least) for lo in range(0, len(q), 64)]
+            return sum(int((c != own[lo * 64 + r]).sum()) for lo, (r, c) in enumerate(pairs))
+
+        true, beam, made = links(q), BEAM, None
+        if true < LEAST_LINKS:
+            beam, made = SAFE_BEAM, self._apart(picked, min(1.0, least + SLACK))
         while True:
-            got = len(self.within(self.unit[picked], least, beam)[0])
-            share = min(1.0, got / true) if true else 1.0
+            a, b = self.within(q, least, beam)
+            share = min(1.0, int((b != own[a]).sum()) / true) if true else 1.0
+            if made is not None and len(picked):
+                a, b = self.within(made, least, beam)
+                share = min(share, int((b == picked[a]).sum()) / len(picked))
             if share >= recall or beam >= n:
                 return beam, share
             beam *= 2
 
+    def _apart(self, nodes: np.ndarray, cosine: float) -> np.ndarray:
+        """For each node a unit vector at this cosine from it, in a random direction."""
+        u = self.unit[nodes].astype(np.float64)
+        if u.shape[1] < 2:
+            return u.astype(np.float32)
+        side = np.random.default_rng(2).normal(size=u.shape)
+        side -= (side * u).sum(1, keepdims=True) * u
+        side /= np.sqrt((side * side).sum(1, keepdims=True))
+        return (cosine * u + np.sqrt(1 - cosine**2) * side).astype(np.float32)
+
     def save(self, f, **more) -> None:
         raw = io.BytesIO()
         np.savez(raw, unit=self.unit, order=self.order, level=self.level, **{f"links{k}": x for k, x in enumerate(self.links)}, **more)
@@ -268,8 +295,8 @@ def near_duplicates(
     Two vectors are linked if their cosine, in double precision, is ``least`` or more. Null and zero vectors and those
     with null or non-finite components link with nothing, nor do vectors of different lengths. Equal vectors become
     one first, so a vector that a third of the rows hold is one node. Each shard of ``shard_rows`` nodes gets its own
-    graph, written to the shared folder with a beam that passed a recall audit against brute force; every node is
-    asked of every shard. A task returns counts and a spanning forest of its links, never all pairs.
+    graph, written to the shared folder with a beam that passed a recall audit of real links, of its own nodes and of
+    other shards', against brute force; every node is asked of every shard. A task returns counts and a spanning forest of its links, never all pairs.
 
     Ids are integers. A row with a null id has n_links, a null component_id and is not kept, and passes on no links;
     rows of one id count as equal rows of one node if their vectors are equal, else the id has a row each and one
@@ -299,7 +326,7 @@ def near_duplicates(
         key = F.create_map(*(F.lit(x) for d in sorted(counts) for x in (d, first_shard[d])))
         width = F.create_map(*(F.lit(x) for d in sorted(counts) for x in (d, -(-counts[d] // shard_rows))))
         dealt = nodes.withColumn("shard", (key[F.col("dim")] + F.pmod(F.xxhash64("node"), width[F.col("dim")])).cast("int"))
-        index = scratch.keep(_build(dealt, shards, out_dir, least), "index")
+        index = scratch.keep(_build(dealt, shards, out_dir, least, _drawn(nodes, list(counts))), "index")
         paths = [(r.dim, r.path) for r in index.select("dim", "path").collect()]
         parts = max(1, min(sum(counts.values()) // 1024, int(spark.conf.get("spark.sql.shuffle.partitions")) * 8))
         found = scratch.keep(_ask(nodes.repartition(parts, "node"), paths, least), "found")
@@ -323,7 +350,19 @@ def near_duplicates(
     )
 
 
-def _build(nodes: DataFrame, shards: int, out_dir: str, least: float) -> DataFrame:
+def _drawn(nodes: DataFrame, dims: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length the nodes and vectors of AUDIT nodes, drawn by hash from all shards."""
+    out = {}
+    for dim in dims:
+        some = nodes.filter(F.col("dim") == dim).orderBy(F.xxhash64(F.lit("audit"), "node"), "node").limit(AUDIT).select("node", "v").toArrow().combine_chunks()
+        v = np.array(some.column("v").to_pylist(), np.float64).reshape(-1, dim)
+        out[dim] = some.column("node").to_numpy(), _unit(v)
+    return out
+
+
+def _build(nodes: DataFrame, shards: int, out_dir: str, least: float, drawn: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    shared = nodes.sparkSession.sparkContext.broadcast(drawn)
+
     def build(batches):
         import pyarrow as pa
 
@@ -335,7 +374,8 @@ def _build(nodes: DataFrame, shards: int, out_dir: str, least: float) -> DataFra
         node = np.concatenate([b.column("node").to_numpy() for b in held])
         copies = np.concatenate([b.column("copies").to_numpy() for b in held])
         graph = Graph(_unit(v))
-        beam, recall = graph.audited_beam(least - SLACK)
+        foreign, unit = shared.value[v.shape[1]]
+        beam, recall = graph.audited_beam(least - SLACK, others=unit[~np.isin(foreign, node)])
         path = f"{out_dir}/shard-{shard:06d}.npz"
         with files.writing(path) as f:
             graph.save(f, v=v, node=node, copies=copies, beam=np.int64(beam))
