@@ -103,3 +103,25 @@ def test_odd_rows(spark):
         if trusted:
             assert {r.kept for r in got if r.doc_id == 1} == {True}
     assert Q.quality(docs.limit(0), spark.createDataFrame([], "doc_id long")).count() == 0
+
+
+def test_every_language_has_its_own_model(spark):
+    r = np.random.default_rng(3)
+    rows = []
+    for k in range(Q.LANGUAGES + 3):
+        letters = r.permutation(26)[:9] + 97
+        rows += [(10 * k + i, " ".join(bytes(r.choice(letters, size=5).tolist()).decode() for _ in range(30)), f"l{k:02d}") for i in range(4)]
+    rows += [(1000, "some text", "untrusted")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = {i for i, _, _ in rows if i % 10 < 3 and i < 1000}
+    got = {x.doc_id: x for x in Q.quality(docs, spark.createDataFrame([(i,) for i in sorted(trusted)], "doc_id long")).collect()}
+    assert set(got) == {i for i, *_ in rows}
+    counts, every = defaultdict(lambda: np.zeros(Q.GRAMS, np.int64)), np.zeros(Q.GRAMS, np.int64)
+    for i, text, lang in rows:
+        if i in trusted:
+            np.add.at(counts[lang], Q.grams(text.encode()), 1)
+            np.add.at(every, Q.grams(text.encode()), 1)
+    tables = {k: Q.log_probabilities(v).astype(float) for k, v in counts.items()}
+    for i, text, lang in rows:
+        table = tables[lang] if lang in tables else Q.log_probabilities(every).astype(float)
+        assert got[i].perplexity == pytest.approx(math.exp(-table[Q.grams(text.encode())].mean()), rel=1e-4)

@@ -11,7 +11,7 @@ from .common import Scratch, small_batches, table
 #: Symbols of the alphabet (a power of two), symbols of an n-gram, and so the n-grams that can exist.
 SYMBOLS, ORDER = 32, 4
 GRAMS = SYMBOLS**ORDER
-#: Languages with a model of their own (those of the most trusted text); the others share the model of all.
+#: Languages scored in a pass; languages without trusted text are in the first, under the model of all.
 LANGUAGES = 15
 #: Quantile of the perplexities of a language's trusted texts above which a text is rejected.
 QUANTILE = 0.99
@@ -146,7 +146,7 @@ def add_counts(counted: DataFrame) -> DataFrame:
 
 
 def models(counts: DataFrame, own: list[str]) -> dict[str, np.ndarray]:
-    """Log probabilities by language: at most LANGUAGES + 1 tables of GRAMS floats (4 MB each)."""
+    """Log probabilities of the languages and of all: a table of GRAMS floats (4 MB) each."""
 
     def build(batches):
         import pyarrow as pa
@@ -213,8 +213,9 @@ def quality(
     empty one is not kept, the other is. Null ids are scored but trusted by nobody; repeated rows are scored alike; an
     empty table gives no rows.
 
+    Every language with trusted text has a model of its own; texts are scored in a pass for each LANGUAGES of them.
     The symbols are bytes folded to an alphabet of 32, so that counts and models have a proven size whatever the
-    input: (LANGUAGES + 1) * 4 MB reach the executors.
+    input: (LANGUAGES + 1) * 4 MB reach the executors in a pass.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -224,10 +225,13 @@ def quality(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
     counts = scratch.keep(add_counts(count_grams(trusted)), "counts")
-    volume = counts.filter(F.col("lang") != ALL).groupBy("lang").agg(F.sum(F.length("grams")).alias("n"))
-    own = [r.lang for r in volume.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    tables = models(counts, own)
-    scored = scratch.keep(perplexities(docs, tables, id_col, text_col, lang_col), "scored")
+    own = sorted(r.lang for r in counts.filter(F.col("lang") != ALL).select("lang").distinct().collect())
+    lang, scored = F.coalesce(F.col(lang_col).cast("string"), F.lit("")), None
+    for at in range(0, max(1, len(own)), LANGUAGES):
+        now = own[at : at + LANGUAGES]
+        mine = docs.filter(lang.isin(now)) if at else docs.filter(~lang.isin(own[LANGUAGES:]))
+        part = scratch.keep(perplexities(mine, models(counts, now), id_col, text_col, lang_col), "scored")
+        scored = part if scored is None else scored.unionByName(part)
     from_trusted = scored.join(known, F.col(id_col) == F.col("__t"), "left_semi").filter("perplexity is not null")
     cut = F.percentile_approx("perplexity", quantile, 10000)
     by_lang = from_trusted.groupBy(F.col("lang").alias("__lang")).agg(cut.alias("__cut"))
