@@ -1,127 +1,141 @@
-import itertools
 import math
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vectide.llm import quality as Q
 
 SF = "/root/testdata/sf0.01"
 
 
-def brute_log(counts: Counter, gram: tuple) -> float:
-    """Interpolated modified Kneser-Ney from dictionaries, order by order."""
-    levels = [dict(counts)]
-    for _ in range(Q.ORDER - 1):
-        nxt = Counter()
-        for g in levels[-1]:
-            nxt[g[1:]] += 1
-        levels.append(dict(nxt))
-    p = 1 / Q.SYMBOLS
-    for n in range(1, Q.ORDER + 1):
-        table = levels[Q.ORDER - n]
-        by = Counter(table.values())
-        n1, n2, n3, n4 = (by[k] for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 else 0
-        d = [1 - 2 * y * n2 / n1 if n1 else 0.5]
-        d.append(2 - 3 * y * n3 / n2 if n2 else d[0])
-        d.append(3 - 4 * y * n4 / n3 if n3 else d[1])
-        d = [min(max(x, 0.05), m) for x, m in zip(d, (0.95, 1.95, 2.95), strict=True)]
-        own = gram[-n:]
-        follow = {g: c for g, c in table.items() if g[:-1] == own[:-1]}
-        total = sum(follow.values())
-        if total:
-            cut = lambda c: d[min(int(c), 3) - 1]
-            c = follow.get(own, 0)
-            p = (c - cut(c) if c else 0) / total + sum(map(cut, follow.values())) / total * p
-    return math.log(p)
-
-
-def test_probabilities_equal_brute_force():
-    r = np.random.default_rng(0)
-    counts = Counter()
-    text = r.choice(6, size=400, p=[0.4, 0.25, 0.15, 0.1, 0.06, 0.04])
-    for i in range(len(text) - 3):
-        counts[tuple(text[i : i + 4].tolist())] += 1
-    flat = np.zeros(Q.GRAMS, np.int64)
-    for g, c in counts.items():
-        flat[np.ravel_multi_index(g, (32,) * 4)] = c
-    got = Q.log_probabilities(flat).reshape((32,) * 4)
-    for g in [*list(counts)[:30], (0, 1, 2, 9), (9, 9, 9, 9), (9, 0, 1, 0), (31, 31, 0, 1)]:
-        assert got[g] == pytest.approx(brute_log(counts, g), abs=1e-4)
-    for ctx in itertools.product(range(3), repeat=3):
-        assert np.exp(got[ctx].astype(float)).sum() == pytest.approx(1, abs=1e-4)
-
-
-def test_steps_equal_the_whole(monkeypatch):
-    raw = "Ein Satz, zwei ÄÖÜ 123!".encode() * 7
-    whole = Q.grams(raw)
-    assert len(whole) == len(raw) + 1
-    for step in (1, 3, 10, 1000):
-        monkeypatch.setattr(Q, "STEP", step)
-        assert np.array_equal(np.concatenate(list(Q._steps(raw))), whole)
-
-
-def test_perplexities_equal_one_pass(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+def seq(text):
+    words = text.translate({c: c + 32 for c in range(65, 91)}).encode().split()
+    return [1, *words, 2] if words else []
+
+
+def discounts(counts):
+    by = Counter(counts)
+    n1, n2, n3, n4 = (by[k] for k in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2) if n1 else 0
+    d = [1 - 2 * y * n2 / n1 if n1 else 0.5]
+    d.append(2 - 3 * y * n3 / n2 if n2 else d[0])
+    d.append(3 - 4 * y * n4 / n3 if n3 else d[1])
+    d = [min(max(x, 0.05), m) for x, m in zip(d, (0.95, 1.95, 2.95), strict=True)]
+    return lambda c: d[min(c, 3) - 1]
+
+
+class Brute:
+    """Interpolated modified Kneser-Ney of pairs, from dictionaries."""
+
+    def __init__(self, texts):
+        self.pairs = Counter(p for t in texts for p in zip(seq(t), seq(t)[1:]))
+        self.behind = Counter(b for _, b in self.pairs)
+        self.follow = defaultdict(list)
+        for (a, _), c in self.pairs.items():
+            self.follow[a].append(c)
+        self.d2, self.d1 = discounts(self.pairs.values()), discounts(self.behind.values())
+
+        self.total = sum(self.behind.values())
+        self.rest = sum(map(self.d1, self.behind.values())) / self.total / (len(self.behind) + 1) if self.behind else 0
+        self.follow = {a: (sum(c), sum(map(self.d2, c)) / sum(c)) for a, c in self.follow.items()}
+
+    def p1(self, b):
+        c = self.behind.get(b, 0)
+        return (c - self.d1(c) if c else 0) / self.total + self.rest
+
+    def p(self, a, b):
+        low = self.p1(b)
+        if a not in self.follow:
+            return low
+        total, weight = self.follow[a]
+        c = self.pairs.get((a, b), 0)
+        return (c - self.d2(c) if c else 0) / total + weight * low
+
+    def perplexity(self, text):
+        s = seq(text)
+        return math.exp(-sum(math.log(self.p(a, b)) for a, b in zip(s, s[1:], strict=False)) / (len(s) - 1)) if s else None
+
+
+def held(spark, ids):
+    return {r.i for r in spark.createDataFrame([(i,) for i in ids], "i long").filter(F.pmod(F.xxhash64(F.lit("held"), "i"), F.lit(Q.HELD)) == 0).collect()}
+
+
+@pytest.mark.parametrize(("shard", "block"), [(64 << 20, 1 << 21), (20000, 3000)])
+def test_perplexities_equal_brute_force(spark, monkeypatch, shard, block):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) < 4000")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    got = {r.doc_id: r for r in Q.quality(docs.repartition(5), labels.filter("quality = 1").select("doc_id")).collect()}
     rows, trusted = docs.collect(), {r.doc_id for r in labels.filter("quality = 1").collect()}
-    counts = defaultdict(lambda: np.zeros(Q.GRAMS, np.int64))
-    for r in rows:
-        if r.doc_id in trusted:
-            np.add.at(counts[r.lang], Q.grams(r.text.encode()), 1)
-    tables = {k: Q.log_probabilities(v).astype(float) for k, v in counts.items()}
-    per = {}
+    if shard < 1 << 20:
+        rows = rows[:150]
+        docs = docs.filter(F.col("doc_id").isin([r.doc_id for r in rows]))
+    monkeypatch.setattr(Q, "SHARD_BYTES", shard)
+    monkeypatch.setattr(Q, "BLOCK_WORDS", block)
+    got = {r.doc_id: r for r in Q.quality(docs.repartition(3), labels.filter("quality = 1").select("doc_id")).collect()}
+    back = held(spark, trusted)
+    brute = Brute([r.text for r in rows if r.doc_id in trusted - back])
+    assert brute.pairs and sum(brute.p(1, b) for b in brute.behind) < 1
     for r in rows:
-        g = Q.grams(r.text.encode())
-        per[r.doc_id] = math.exp(-tables[r.lang][g].mean())
-        assert got[r.doc_id].perplexity == pytest.approx(per[r.doc_id], rel=1e-4)
-    for lang in tables:
-        own = sorted(got[r.doc_id].perplexity for r in rows if r.lang == lang and r.doc_id in trusted)
-        cut = {got[r.doc_id].threshold for r in rows if r.lang == lang}
-        assert cut == {own[math.ceil(Q.QUANTILE * len(own)) - 1]}
-    assert all(r.kept == (r.perplexity <= r.threshold) for r in got.values() if r.n_symbols)
+        assert got[r.doc_id].perplexity == pytest.approx(brute.perplexity(r.text), rel=1e-5)
+        assert got[r.doc_id].n_words == max(0, len(seq(r.text)) - 2)
+    for lang in {r.lang for r in rows}:
+        mine = [r for r in rows if r.lang == lang and r.doc_id in trusted and seq(r.text)]
+        own = sorted(got[r.doc_id].perplexity for r in [r for r in mine if r.doc_id in back] or mine)
+        if own:
+            assert {got[r.doc_id].threshold for r in rows if r.lang == lang} == {own[math.ceil(Q.QUANTILE * len(own)) - 1]}
+    assert all(r.kept == (r.perplexity <= r.threshold) for r in got.values() if r.n_words)
+
+
+def test_probabilities_add_up():
+    brute = Brute(["a b c a b d", "b c a", "e a b"])
+    for a in (1, b"a", b"never"):
+        words = [b for b in brute.behind] + [b"unseen"]
+        assert sum(brute.p(a, b) for b in words) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("step", [1 << 20, 7, 30])
+def test_long_texts_in_steps(monkeypatch, step):
+    raw = [("Ein Satz\t zwei  ÄÖÜ 123! " * 9).encode(), b"", b" \n ", b"one", b"x" * 50, b" two words "]
+    monkeypatch.setattr(Q, "STEP", step)
+    got = defaultdict(list)
+    for a, b, doc in Q.neighbours(raw, 64):
+        for x, y, d in zip(a.tolist(), b.tolist(), doc.tolist(), strict=True):
+            got[d].append((x, y))
+    monkeypatch.setattr(Q, "STEP", 1 << 20)
+    want = defaultdict(list)
+    for a, b, doc in Q.neighbours(raw, 64):
+        for x, y, d in zip(a.tolist(), b.tolist(), doc.tolist(), strict=True):
+            want[d].append((x, y))
+    assert got == want and sorted(got) == [0, 3, 4, 5] and [len(got[d]) for d in (0, 3, 4, 5)] == [46, 2, 2, 3]
+    assert all(p[0][0] == 1 and p[-1][1] == 2 and all(x[1] == y[0] for x, y in zip(p, p[1:], strict=False)) for p in got.values())
+
+
+def test_columns_come_back():
+    a, b = np.sort(np.random.default_rng(0).integers(0, 1 << 60, 1000)).astype(np.uint64), np.arange(7, dtype="<f4")
+    x, y, z = Q.unpack(Q.pack(Q.steps(a), b, np.zeros(0, "<u4")), "<u8", "<f4", "<u4")
+    assert np.array_equal(np.cumsum(x), a) and np.array_equal(y, b) and len(z) == 0
 
 
 def test_junk_is_told_from_prose(spark):
-    got = Q.query(spark, SF).toPandas().merge(spark.read.parquet(f"{SF}/labels.parquet").toPandas(), on="doc_id")
+    got = Q.query(spark, "/root/testdata/sf0.1").toPandas().merge(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").toPandas(), on="doc_id")
     good, junk = got[got.quality == 1], got[got.quality == 0]
     assert good.kept.mean() > 0.97
-    assert (junk.perplexity.median()) > good.perplexity.median() and junk.kept.mean() < 0.7
+    back = good[good.doc_id.isin(held(spark, good.doc_id.tolist()))]
+    assert back.kept.mean() > 0.97
+    assert junk.perplexity.median() > back.perplexity.median() and junk.kept.mean() < 0.7
 
 
 def test_odd_rows(spark):
-    rows = [(1, "some plain words here", "en", "a"), (2, None, "en", "b"), (3, "", None, "c"), (None, "plain words", "en", "d"), (4, "andere", "de", "e"), (1, "some plain words here", "en", "a")]
+    rows = [(1, "some plain words here", "en", "a"), (2, None, "en", "b"), (3, "", None, "c"), (None, "plain words", "en", "d"), (4, "andere", "de", "e"), (1, "some plain words here", "en", "a"), (5, " \n", "en", ""), (6, "word " * 400000, "en", "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, kept string")
-    for trusted in ([(1,), (1,), (None,)], []):
+    for trusted in ([(1,), (1,), (None,)], [(1,), (2,), (4,), (99,)], []):
         got = Q.quality(docs, spark.createDataFrame(trusted, "doc_id long")).collect()
-        assert len(got) == 6
-        assert all((r.perplexity is None) == (not trusted or not r.n_symbols) for r in got)
-        assert {r.kept for r in got if not r.n_symbols} == {False}
+        assert len(got) == 8 and {r.n_words for r in got if r.doc_id == 1} == {4} and {r.n_words for r in got if r.doc_id == 6} == {400000}
+        assert all((r.perplexity is None) == (not trusted or not r.n_words) for r in got)
+        assert {r.kept for r in got if not r.n_words} == {False}
         if trusted:
             assert {r.kept for r in got if r.doc_id == 1} == {True}
+            own = [r.perplexity for r in got if r.doc_id == 1]
+            assert own[0] == own[1] == pytest.approx(Brute([t or "" for i, t, *_ in rows if i in {x for (x,) in trusted} and i is not None]).perplexity(rows[0][1]), rel=1e-5)
     assert Q.quality(docs.limit(0), spark.createDataFrame([], "doc_id long")).count() == 0
-
-
-def test_every_language_has_its_own_model(spark):
-    r = np.random.default_rng(3)
-    rows = []
-    for k in range(Q.LANGUAGES + 3):
-        letters = r.permutation(26)[:9] + 97
-        rows += [(10 * k + i, " ".join(bytes(r.choice(letters, size=5).tolist()).decode() for _ in range(30)), f"l{k:02d}") for i in range(4)]
-    rows += [(1000, "some text", "untrusted")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    trusted = {i for i, _, _ in rows if i % 10 < 3 and i < 1000}
-    got = {x.doc_id: x for x in Q.quality(docs, spark.createDataFrame([(i,) for i in sorted(trusted)], "doc_id long")).collect()}
-    assert set(got) == {i for i, *_ in rows}
-    counts, every = defaultdict(lambda: np.zeros(Q.GRAMS, np.int64)), np.zeros(Q.GRAMS, np.int64)
-    for i, text, lang in rows:
-        if i in trusted:
-            np.add.at(counts[lang], Q.grams(text.encode()), 1)
-            np.add.at(every, Q.grams(text.encode()), 1)
-    tables = {k: Q.log_probabilities(v).astype(float) for k, v in counts.items()}
-    for i, text, lang in rows:
-        table = tables[lang] if lang in tables else Q.log_probabilities(every).astype(float)
-        assert got[i].perplexity == pytest.approx(math.exp(-table[Q.grams(text.encode())].mean()), rel=1e-4)

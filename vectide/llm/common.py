@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,13 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of frames that nothing refers to any more; else they stay until the driver
+    happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Tables written to the shared folder. They cut lineage and outlive any executor."""
 
@@ -162,3 +171,39 @@ def by_bytes(texts: Sequence[bytes | None], most: int) -> Iterator[slice]:
         total += n
     if start < len(texts):
         yield slice(start, len(texts))
+
+
+def bit_table(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A table of 2**bits bits with those of the top bits of each 64-bit value set. At most 2**(bits-6) rows come back."""
+    at = F.shiftrightunsigned(F.col(column), 64 - bits)
+    words = (
+        df.select(F.expr("1").alias("__one"), at.alias("__at"))
+        .select(F.shiftrightunsigned("__at", 6).alias("w"), F.expr("shiftleft(1L, cast(__at & 63 as int))").alias("b"))
+        .groupBy("w")
+        .agg(F.bit_or("b").alias("b"))
+        .toArrow()
+    )
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return out.view(np.uint64)
+
+
+def in_bits(table: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
+    at = values >> np.uint64(64 - bits)
+    return (table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def marked(docs: DataFrame, key: Column, table: np.ndarray, bits: int, wanted: bool) -> DataFrame:
+    """The rows whose 64-bit key has its bit in the table, or with ``wanted`` false the others, those with a null key too."""
+    shared, columns = docs.sparkSession.sparkContext.broadcast(table), docs.columns
+
+    def keep(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            keys = b.column(b.num_columns - 1)
+            hit = in_bits(shared.value, keys.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64), bits)
+            hit &= keys.is_valid().to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(hit == wanted)).select(columns)
+
+    return docs.withColumn("__mark", key).mapInArrow(keep, docs.schema)

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_bytes, components, small_batches, table
+from .common import Scratch, bit_table, by_bytes, components, in_bits, small_batches, table
 from .words import U, hashed, mixed, shingles
 
 #: Words of a shingle; similarity that links, in hundredths.
@@ -59,21 +59,6 @@ def needed(la: np.ndarray, ha: np.ndarray, lb: np.ndarray, hb: np.ndarray, at: i
     return np.maximum(1, -(-at * (la + lb) // (100 + at)) + -at * np.maximum(ha, hb) // 100 + 1)
 
 
-def bit_table(df: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A table of 2**bits bits with those of the top bits of each 64-bit value set. At most 2**(bits-6) rows come back."""
-    at = F.shiftrightunsigned(F.col(column), 64 - bits)
-    words = (
-        df.select(F.expr("1").alias("__one"), at.alias("__at"))
-        .select(F.shiftrightunsigned("__at", 6).alias("w"), F.expr("shiftleft(1L, cast(__at & 63 as int))").alias("b"))
-        .groupBy("w")
-        .agg(F.bit_or("b").alias("b"))
-        .toArrow()
-    )
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
-    return out.view(np.uint64)
-
-
 def bit_tables(df: DataFrame, column: str, steps: str, bits: int) -> np.ndarray:
     """A table as of bit_table for each bit of the column ``steps``. At most 2**(bits-6) rows come back."""
     at = F.shiftrightunsigned(F.col(column), 64 - bits)
@@ -91,11 +76,6 @@ def bit_tables(df: DataFrame, column: str, steps: str, bits: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def in_bits(table: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
-    at = values >> U(64 - bits)
-    return (table[at >> U(6)] >> (at & U(63))) & U(1) == 1
-
-
 def _sets(batch, k: int):
     """(positions, shingles, bounds) of the texts of a batch, in parts of bounded size."""
     import pyarrow as pa
