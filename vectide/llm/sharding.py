@@ -3,42 +3,58 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks_for, running_totals
+from .common import Scratch, chunks_for, running_totals, table
 
-#: Groups above total/JOBS bytes are scheduled alone (fewer than JOBS of them); the others in JOBS hashed bundles.
-JOBS = 8192
+#: Groups of more than 1/HEAVY of the rows (fewer than HEAVY of them) reach their rows by broadcast.
+HEAVY = 8192
+#: Sizes whose places are handed on together.
+PART = 1 << 16
 
 
-def schedule(sizes: list[tuple[str, int]], n_shards: int) -> dict[str, int]:
-    """Longest first, each to the least-loaded shard. Ties: job name, then shard number."""
-    heap = [(0, s) for s in range(n_shards)]
-    placed = {}
-    for job, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        load, shard = heapq.heappop(heap)
-        placed[job] = shard
-        heapq.heappush(heap, (load + size, shard))
-    return placed
+def schedule(sizes: Iterable[tuple[int, int]], n_shards: int) -> Iterator[tuple[int, list[int]]]:
+    """For each (size, groups of that size), largest size first: how many of these groups each shard takes.
+
+    Each group goes to the least-loaded shard (ties: shard number), as a heap over single groups would place it. Groups
+    of one size are placed together: shards are filled up to the load of the next one first, then all shards in play
+    take turns, and the heap deals the rest of a turn.
+    """
+    load = [0] * n_shards
+    for size, groups in sizes:
+        took, left = [0] * n_shards, groups
+        order = sorted(range(n_shards), key=lambda s: (load[s], s))
+        steps = lambda level: [max(0, -(-(level - load[s]) // size)) for s in order]  # noqa: E731  groups that start below a level
+        play = 1
+        while play < n_shards and sum(steps(load[order[play]])) <= groups:
+            play += 1
+        for s, n in zip(order, steps(load[order[play - 1]]), strict=True):
+            took[s] += n
+            left -= n
+        for s in order[:play]:
+            took[s] += left // play
+        heap = [(load[s] + took[s] * size, s) for s in order[:play]]
+        heapq.heapify(heap)
+        for _ in range(left % play):
+            at, s = heapq.heappop(heap)
+            took[s] += 1
+            heapq.heappush(heap, (at + size, s))
+        for s in range(n_shards):
+            load[s] += took[s] * size
+        yield size, took
 
 
-def lpt_shards(
-    docs: DataFrame,
-    n_shards: int = 16,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    jobs: int = JOBS,
-    scratch: Scratch | None = None,
-) -> DataFrame:
+def lpt_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """One row per input row: id, size, text_crc32, shard, slot.
 
     Size is the UTF-8 bytes of the text plus 1. Equal texts are one group and share a shard; a null text counts as
-    the empty text (size 1, crc 0). The driver schedules fewer than 2 * ``jobs`` jobs, whatever the input: groups
-    above total/jobs bytes alone, all smaller ones hashed into ``jobs`` bundles, so a shard's load is off by about
-    one bundle. Slots are gapless from 0 in each shard. Null ids and repeated rows are rows like any other; an empty
-    table gives no rows; other columns are ignored.
+    the empty text (size 1, crc 0). Every group is scheduled, largest first; ties go by the texts' SHA-256. The driver
+    holds a row per different size of groups, of which there are at most the square root of twice all bytes. Slots are
+    gapless from 0 in each shard, in the order of id and crc inside a hash chunk. Null ids and repeated rows are rows
+    like any other, a very long text is a group like any other; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lpt")
@@ -52,42 +68,45 @@ def lpt_shards(
         ),
         "keys",
     )
-    total, rows = keys.agg(F.sum("size"), F.count(F.lit(1))).first()
-    total = total or 0
-    groups = keys.groupBy("__group").agg(F.sum("size").alias("bytes"))
-    bundle = F.concat(F.lit("b"), F.pmod(F.xxhash64("__group"), F.lit(jobs)).cast("string"))
-    large = F.col("bytes") * jobs > F.lit(total)
-    # bounded: fewer than `jobs` groups can exceed total/jobs bytes, and there are `jobs` bundles
-    work = (
-        groups.select(F.when(large, F.col("__group")).otherwise(bundle).alias("job"), "bytes")
-        .groupBy("job")
-        .agg(F.sum("bytes").alias("bytes"))
-        .collect()
-    )
-    placed = schedule([(r.job, r.bytes) for r in work], n_shards)
-    plan = F.broadcast(
-        spark.createDataFrame(list(placed.items()) or [("", 0)], "__job string, __to int")
+    groups = keys.groupBy("__group").agg(F.sum("size").alias("__bytes"), F.count(F.lit(1)).alias("__n"))
+    groups = scratch.keep(groups, "groups")
+    sizes = groups.groupBy("__bytes").agg(F.count(F.lit(1)).alias("__groups"), F.sum("__n").alias("__rows")).toArrow().sort_by([("__bytes", "descending")])
+    counts = sizes.column("__groups").to_pylist()
+    rows = sum(sizes.column("__rows").to_pylist())
+    plan = _plan(scratch, schedule(zip(sizes.column("__bytes").to_pylist(), counts, strict=True), n_shards))
+    groups = groups.withColumn("__chunk", F.pmod(F.xxhash64("__group"), F.lit(chunks_for(max(counts, default=0)))).cast("int"))
+    ranked = running_totals(groups, ["__bytes"], "__chunk", ["__group"], "__rank")
+    placed = scratch.keep(
+        ranked.join(plan, F.col("__bytes") == F.col("__size")).select(
+            F.col("__group").alias("__g"), "__n", F.size(F.filter("__upto", lambda x: x <= F.col("__rank"))).alias("shard")
+        ),
+        "placed",
     )
-    alone = plan.select(F.col("__job").alias("__alone"), F.col("__to").alias("__a"))
-    bundled = plan.select(F.col("__job").alias("__bundle"), F.col("__to").alias("__b"))
+    heavy = F.col("__n") * HEAVY > rows
+    # bounded: fewer than HEAVY groups hold more than 1/HEAVY of the rows
+    large = F.broadcast(placed.filter(heavy).select("__g", "shard"))
+    same = F.col("__group") == F.col("__g")
+    dealt = keys.join(large, same).unionByName(keys.join(large.select("__g"), same, "left_anti").join(placed.filter(~heavy).select("__g", "shard"), same))
     n_chunks = chunks_for(rows // max(1, n_shards))
-    dealt = (
-        keys.join(alone, F.col("__group") == F.col("__alone"), "left")
-        .join(bundled, bundle == F.col("__bundle"), "left")
-        .select(
-            "__id", "size", "text_crc32",
-            F.coalesce("__a", "__b").alias("shard"),
-            F.pmod(F.xxhash64("__id", "__group"), F.lit(n_chunks)).cast("int").alias("__chunk"),
-        )
-    )
+    dealt = dealt.select("__id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("__id", "__group"), F.lit(n_chunks)).cast("int").alias("__chunk"))
+    dealt = scratch.keep(dealt, "dealt")
     return running_totals(dealt, ["shard"], "__chunk", ["__id", "text_crc32"], "slot").select(
         F.col("__id").alias(id_col), "size", "text_crc32", "shard", "slot"
     )
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import table
+def _plan(scratch: Scratch, placed: Iterator[tuple[int, list[int]]]) -> DataFrame:
+    """(size, ranks of its groups below which each shard's share ends), written in parts of bounded size."""
+    from itertools import accumulate, islice
+
+    out = None
+    while (part := [(size, list(accumulate(took))) for size, took in islice(placed, PART)]) or out is None:
+        kept = scratch.keep(scratch.spark.createDataFrame(part, "__size long, __upto array<long>"), "plan")
+        out = kept if out is None else out.unionByName(kept)
+    return out
 
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpt_shards(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
