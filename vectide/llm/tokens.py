@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, table
+from .pieces import Pieces
 
 #: Texts above this many characters are cut; also the characters of a chunk without its overlap.
 CHUNK_CHARS = 32768
@@ -56,6 +57,17 @@ def count_long(encode: Callable, text: str, chunk: int = CHUNK_CHARS, overlap: i
             wide *= 2
 
 
+def independent(own) -> bool:
+    """Whether a Tokenizer encodes the pieces of pieces.cut() independently: plain byte-level BPE, and no added token
+    that holds white space or depends on what stands beside it."""
+    import json
+
+    pre = json.loads(own.to_str())["pre_tokenizer"] or {}
+    added = own.get_added_tokens_decoder().values()
+    plain = not any(t.lstrip or t.rstrip or t.single_word or any(c.isspace() for c in t.content) for t in added)
+    return own.normalizer is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and plain
+
+
 def token_counts(
     docs: DataFrame,
     tokenizer_path: str,
@@ -69,8 +81,9 @@ def token_counts(
 
     ``tokenizer_path`` is a .json file of the tokenizers library or a .model file of sentencepiece, present on every
     executor. Nothing is added or truncated; special strings in a text count as the library's default has them. A
-    null text is empty (0, 0, false). Null ids, repeated rows and other columns stay as they are; an empty table
-    gives no rows. A task holds one batch of texts and one chunk's encoding.
+    null text is empty (0, 0, false). Null ids and repeated rows are counted like any other; other columns are ignored; an empty table
+    gives no rows. A task holds one batch of texts, one chunk's encoding and a bounded number of pieces: where the
+    tokenizer encodes pieces of a text independently (see pieces.cut), each different piece is encoded once.
     """
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
@@ -95,10 +108,14 @@ def token_counts(
             own = Tokenizer.from_file(tokenizer_path)
             own.no_truncation()
             own.no_padding()
-            many = lambda texts: [len(x.ids) for x in own.encode_batch_fast(texts, add_special_tokens=False)]
+            many = lambda texts: [len(x) for x in own.encode_batch_fast(texts, add_special_tokens=False)]
             whole = own.normalizer is not None or "ByteLevel" not in str(own.pre_tokenizer)
             one = lambda text: own.encode(text, add_special_tokens=False)
-            long = (lambda text: many([text])[0]) if whole else (lambda text: count_long(one, text, chunk, overlap))
+            each = many
+            long = (lambda text: each([text])[0]) if whole else (lambda text: count_long(one, text, chunk, overlap))
+            if independent(own):
+                pieces = Pieces(each)
+                many = lambda texts: [sum(x) for x in pieces(texts)]
         for b in batches:
             texts = b.column(1).to_pylist()
             n = [0] * len(texts)
