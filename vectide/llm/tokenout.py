@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
 from .common import Scratch, small_batches, table
+from .pieces import PATTERN, Pieces, segments
 
 #: Tokens of a sequence, sequences of a shard file, and the key of the order.
 SEQ_TOKENS, SHARD_SEQS, KEY = 2048, 4096, 20260701
 ROUNDS = 6
+#: Characters above which a text is encoded in segments, texts encoded together.
+LONG, TOGETHER = 1 << 20, 64
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -48,6 +55,17 @@ def slots(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def windowed_slots(index: np.ndarray, n: int, window: int | None, key: int = KEY) -> np.ndarray:
+    """As slots(), but each run of ``window`` indexes is permuted in itself, with a key of its own."""
+    if not window:
+        return slots(index, n, key)
+    out = np.empty(len(index), np.int64)
+    for w in np.unique(index // window).tolist():
+        own, first = np.flatnonzero(index // window == w), w * window
+        out[own] = first + slots(index[own] - first, min(window, n - first), int(_mix(np.array([w], np.uint64), key & (2**63 - 1))[0]))
+    return out
+
+
 def encoder(path: str, pattern: str):
     """Encode ordinary text by a .tiktoken file of ranks; the id after the last rank ends a document."""
     import base64
@@ -59,9 +77,51 @@ def encoder(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1
 
 
-def token_ids(enc, text: str) -> np.ndarray:
-    """Ids of ordinary text; without special tokens no string is special."""
-    return enc.encode_to_numpy(text, disallowed_special=())
+def many(each: Callable[[list[str]], list], join: Callable, pattern: str) -> Callable[[list[str]], list]:
+    """``each`` for many texts, from values of pieces joined by ``join``: a piece is encoded once, where ``pattern``
+    encodes pieces independently."""
+    if pattern != PATTERN:
+        return each
+    pieces = Pieces(each)
+
+    def of(texts: list[str]) -> list:
+        out = [join(x) for x in pieces([t if len(t) <= LONG else "" for t in texts])]
+        for i, t in enumerate(texts):
+            if len(t) > LONG:
+                out[i] = join(join(x) for s in segments(t) for x in pieces([s]))
+        return out
+
+    return of
+
+
+def token_counts(enc, pattern: str) -> Callable[[list[str]], list[int]]:
+    """Counts the tokens of ordinary texts; without special tokens no string is special."""
+    return many(lambda texts: [len(enc.encode_ordinary(t)) for t in texts], sum, pattern)
+
+
+def token_ids(enc, pattern: str, dtype: np.dtype) -> Callable[[list[str]], list[bytes]]:
+    """Encodes ordinary texts as the bytes of their ids."""
+    return many(lambda texts: [np.array(enc.encode_ordinary(t), dtype).tobytes() for t in texts], b"".join, pattern)
+
+
+def _in_files(docs: DataFrame, columns: list[Column]) -> DataFrame:
+    """The columns and, of a table read from files, the file and the place in it where a row's split begins."""
+    try:
+        name = F.concat_ws(":", "_metadata.file_path", F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"))
+        return docs.select(*columns, name.alias("__run"))
+    except AnalysisException:
+        return docs.select(*columns, F.lit("").alias("__run"))
+
+
+def _runs(batch) -> Iterator[tuple]:
+    """(split, rows) of a batch, in order."""
+    import pyarrow.compute as pc
+
+    ends = pc.run_end_encode(batch.column(2))
+    at = 0
+    for end, run in zip(ends.run_ends.to_pylist(), ends.values.to_pylist(), strict=True):
+        yield run, batch.slice(at, end - at)
+        at = end
 
 
 def materialise(
@@ -74,13 +134,15 @@ def materialise(
     seq_tokens: int = SEQ_TOKENS,
     shard_seqs: int = SHARD_SEQS,
     key: int = KEY,
+    window: int | None = None,
     scratch: Scratch | None = None,
 ) -> DataFrame:
     """Write fixed-stride shards and return a row per piece of a document in a sequence.
 
-    The documents, in the order of the scan, form one stream of tokens, each ended by the end id. The stream is cut
+    The documents, in the order of the scan (of a table's files by name and row, if they are read from files), form one stream of tokens, each ended by the end id. The stream is cut
     into sequences of ``seq_tokens``; only the very last is padded (with the end id). Sequence s has the global slot
-    of the keyed permutation, shard slot div shard_seqs, and the bytes from (slot mod shard_seqs) * stride on, ids as
+    of the keyed permutation of all sequences (with ``window``, of each run of so many, so that an order in which the
+    documents were written holds from window to window), shard slot div shard_seqs, and the bytes from (slot mod shard_seqs) * stride on, ids as
     little-endian uint16 (uint32 if there are more than 65536). A reader seeks to any slot and resumes there. Columns: id, piece, seq, at (tokens into the sequence), n_tokens (with the end id), slot, shard,
     offset (bytes into the shard) and crc32 of the ids. A null or empty text is the end id alone. Null ids and
     repeated rows are rows like any other; an empty table writes nothing and gives no rows.
@@ -95,20 +157,24 @@ def materialise(
     small_batches(spark)
     kind = dict(docs.dtypes)[id_col]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).alias("__id"), text.alias("__text"))
+    base = _in_files(docs, [F.col(id_col).alias("__id"), text.alias("__text")])
 
     def counted(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, _ = encoder(tokenizer_path, pattern)
-        n = sum(len(enc.encode_ordinary(t)) + 1 for b in batches for t in b.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
+        count, n, part = token_counts(encoder(tokenizer_path, pattern)[0], pattern), Counter(), TaskContext.get().partitionId()
+        for b in batches:
+            for run, own in _runs(b):
+                texts = own.column(1).to_pylist()
+                n[run] += len(texts) + sum(sum(count(texts[i : i + TOGETHER])) for i in range(0, len(texts), TOGETHER))
+        yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), pa.array([*n], pa.string()), pa.array([*n.values()], pa.int64())], ["part", "run", "n"])
 
-    sizes = sorted((r.part, r.n) for r in base.mapInArrow(counted, "part int, n long").collect())  # a row per partition
+    # a row per partition and file split in it
+    sizes = sorted((r.run or "", r.part, r.n) for r in base.mapInArrow(counted, "part int, run string, n long").collect())
     starts, n_tokens = {}, 0
-    for part, n in sizes:
-        starts[part] = (n_tokens, n)
+    for run, part, n in sizes:
+        starts[part, run] = (n_tokens, n)
         n_tokens += n
     n_seqs = -(-n_tokens // seq_tokens)
     known = spark.sparkContext.broadcast(starts)
@@ -119,13 +185,17 @@ def materialise(
 
         enc, end_id = encoder(tokenizer_path, pattern)
         dtype = np.dtype("<u2" if end_id < 65536 else "<u4")
+        ids_of, end = token_ids(enc, pattern, dtype), np.array([end_id], dtype).tobytes()
         zipper = zstandard.ZstdCompressor(level=1)
-        first, expected = known.value[TaskContext.get().partitionId()]
-        at_token = first
-        for b in batches:
+        place, done_tokens = known.value, Counter()
+        for b, run in ((own, run) for batch in batches for run, own in _runs(batch)):
             out = [[] for _ in range(6)]
-            for one, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.append(token_ids(enc, t), np.uint32(end_id)).astype(dtype)
+            mine = TaskContext.get().partitionId(), run
+            at_token = place[mine][0] + done_tokens[run]
+            texts = b.column(1).to_pylist()
+            encoded = chain.from_iterable(ids_of(texts[i : i + TOGETHER]) for i in range(0, len(texts), TOGETHER))
+            for one, raw in zip(b.column(0).to_pylist(), encoded, strict=True):
+                ids = np.frombuffer(raw + end, dtype)
                 done, piece = 0, 0
                 while done < len(ids):
                     at = (at_token + done) % seq_tokens
@@ -135,15 +205,16 @@ def materialise(
                     done += n
                     piece += 1
                 at_token += len(ids)
+                done_tokens[run] += len(ids)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(out[0], b.column(0).type), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()),
-                    pa.array(out[4], pa.int32()), pa.array(slots(np.array(out[2], np.int64), n_seqs, key), pa.int64()),
+                    pa.array(out[4], pa.int32()), pa.array(windowed_slots(np.array(out[2], np.int64), n_seqs, window, key), pa.int64()),
                     pa.array([zipper.compress(x) for x in out[5]], pa.binary()),
                 ],
                 ["__id", "piece", "seq", "at", "n", "slot", "ids"],
             )
-        if at_token - first != expected:
+        if any(place[TaskContext.get().partitionId(), run][1] != n for run, n in done_tokens.items()):
             raise ValueError("the table's partitions changed between counting and writing")
 
     pieces = base.mapInArrow(cut, f"__id {kind}, piece int, seq long, at int, n int, slot long, ids binary")
@@ -218,9 +289,13 @@ def read_sequences(out_dir: str, shard: int, first: int = 0, seq_tokens: int = S
             yield np.frombuffer(raw, dtype)
 
 
-def query(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+def shards(docs: DataFrame, window: int | None = None) -> DataFrame:
+    """materialise() with a public tokenizer, into a scratch folder."""
     import public_tokenizers
 
-    scratch = Scratch(spark, "tokens")
-    docs = table(spark, sf_dir, "documents") if docs is None else docs
-    return materialise(docs, scratch.path("shards"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, scratch=scratch)
+    scratch = Scratch(docs.sparkSession, "tokens")
+    return materialise(docs, scratch.path("shards"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, window=window, scratch=scratch)
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(table(spark, sf_dir, "documents"))
