@@ -1,9 +1,11 @@
+import math
 from collections import Counter, defaultdict
 from fractions import Fraction
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vectide.llm import mixing as M
 
@@ -95,6 +97,40 @@ def test_mixed_rows_follow_the_target(spark, monkeypatch):
         assert abs(sum(r.source == "big" for r in inside[:n]) - 0.9 * n) <= 2 + 1e-9
 
 
+def simulated(weights, blocks):
+    """(source, block, slot) while all sources have blocks: in each slot the released block of the earliest deadline."""
+    total = sum(weights.values())
+    done, out, slot = dict.fromkeys(weights, 0), [], 0
+    while True:
+        released = [(math.ceil(Fraction((done[k] + 1) * total, w)), k) for k, w in weights.items() if Fraction(done[k] * total, w) < slot + 1]
+        k = min(released)[1]
+        if done[k] == blocks[k]:
+            return out
+        out.append((k, done[k], slot))
+        done[k] += 1
+        slot += 1
+
+
+@pytest.mark.parametrize("blocks", [1 << 18, 40])
+def test_query_is_the_simulated_schedule(spark, tmp_path, monkeypatch, blocks):
+    monkeypatch.setattr(M, "BLOCKS", blocks)
+    rows = [(i, f"s{i % 5}" if i % 3 else "hot", "long " * 9, None) for i in range(400)] + [(1, "s1", None, 3), (1, "s1", None, 3), (None, None, "", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, position long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = M.query(spark, str(tmp_path)).orderBy("position").collect()
+    size = max(4, -(-len(rows) // blocks))
+    counts = Counter(r[1] or "" for r in rows)
+    names = sorted(counts)
+    want = simulated({k: len(names) - i for i, k in enumerate(names)}, {k: -(-n // size) for k, n in counts.items()})
+    seen = list(dict.fromkeys((r.source, r.block, r.slot) for r in got if r.in_mix))
+    assert seen == want and len(got) == len(rows)
+    # the rows of a source come in the order of the hash of their id
+    hashes = {r[0]: r[1] for r in df.select("doc_id", F.xxhash64("doc_id")).collect()}
+    for k in names:
+        own = [r.doc_id for r in got if r.source == k]
+        assert own == sorted((r[0] for r in rows if (r[1] or "") == k), key=lambda i: (hashes[i], i or 0))
+
+
 def test_defaults_and_empty(spark):
     assert mixed(spark, []) == []
     got = mixed(spark, [(i, "a" if i % 3 else "b", "", "") for i in range(90)])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from fractions import Fraction
 from itertools import islice
 
@@ -15,8 +15,8 @@ from .common import Scratch, chunks_for, running_totals, table
 
 #: Slots that the column ``share`` refers to; the schedule itself follows the exact weights.
 PERIOD = 1000
-#: Documents in a block.
-BLOCK_ROWS = 4
+#: Documents in a block at least, and the blocks of all sources beyond which blocks get larger.
+BLOCK_ROWS, BLOCKS = 4, 1 << 18
 #: Default target weights: a source's rows to this power, so that small sources count for more than their size.
 TEMPERATURE = 0.5
 #: Blocks that the driver schedules before it hands them on.
@@ -100,26 +100,28 @@ def run_schedule(parts: Mapping[str, int], blocks: Mapping[str, int]) -> Iterato
 
 def mix(
     docs: DataFrame,
-    weights: Mapping[str, float] | None = None,
+    weights: Mapping[str, float] | Callable[[Mapping[str, int]], Mapping[str, float]] | None = None,
     id_col: str = "doc_id",
     source_col: str = "source",
     period: int = PERIOD,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
     scratch: Scratch | None = None,
 ) -> DataFrame:
     """One row per input row: id, source, share, block, release, deadline, slot, in_mix, position.
 
-    The rows of a source, in the order of a hash of their id, form blocks of ``block_rows``. Blocks run in the slots
+    The rows of a source, in the order of a hash of their id (ties: the id), form blocks of ``block_rows``, by default
+    BLOCK_ROWS, or so many that all rows make no more than about BLOCKS blocks. Blocks run in the slots
     of run_schedule(), which follows the exact weights over the whole run. ``position`` numbers all rows gapless in
     slot order, ``share`` is the weight in whole shares of ``period``. While every source still has blocks
     (``in_mix``), any prefix holds each source to within one block of its weight; later rows keep their order, so no
     row is lost or repeated. A null source is a source of its own, named by the empty string. Sources that ``weights``
     does not name weigh as much as the least that it does; those of weight 0 take no part and come last, with no
-    release or deadline (if no weight is above 0, all weigh the same). Without ``weights``, a source weighs its rows
-    to the power TEMPERATURE. Null ids and repeated rows are rows like any other; an empty table gives no rows.
+    release or deadline (if no weight is above 0, all weigh the same). ``weights`` may be a function of the sources'
+    rows; without it, a source weighs its rows to the power TEMPERATURE. Null ids and repeated rows are rows like any
+    other; texts are not read; an empty table gives no rows; other columns are ignored.
 
     DataFrame operations only; the driver holds one row per source and PART blocks of the schedule, which it computes
-    block by block.
+    block by block, BLOCKS and one for each source at most.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "mix")
@@ -129,6 +131,9 @@ def mix(
     )
     counts = {r["__src"]: r["n"] for r in keys.groupBy("__src").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = sum(counts.values())
+    block_rows = block_rows or max(BLOCK_ROWS, -(-rows // BLOCKS))
+    if callable(weights):
+        weights = weights(counts)
     if weights is None:
         given = {k: n**TEMPERATURE for k, n in counts.items()}
     else:
@@ -173,5 +178,10 @@ def _schedule(scratch: Scratch, given: Mapping[str, float], counts: Mapping[str,
     return out
 
 
+def falling(counts: Mapping[str, int]) -> dict[str, int]:
+    """Target weights of the query: n for the first of n sources by name, down to 1 for the last, whatever their rows."""
+    return {k: len(counts) - i for i, k in enumerate(sorted(counts))}
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents"), falling)
