@@ -106,6 +106,26 @@ def test_index_goes_stale(engine):
     assert all(i[0] != "s" for i in engine.indexes())
 
 
+def test_tables_do_not_lie_in_tables(engine):
+    engine.make_table("up/down", engine.spark.range(2))
+    for name in ("up", "up/down/more"):
+        with pytest.raises(ValueError, match="tables|table"):
+            engine.make_table(name, engine.spark.range(1))
+    assert engine.read_table("up/down").count() == 2 and "up/down" in engine.tables()
+    engine.drop_table("up/down")
+
+
+def test_planned_frames_outlive_a_replacement(engine):
+    engine.make_table("v", engine.spark.range(3))
+    old = engine.read_table("v")
+    engine.make_table("v", engine.spark.range(5))
+    assert old.count() == 3 and engine.read_table("v").count() == 5
+    engine.make_table("v", engine.spark.range(7))
+    versions = [c for c, folder in engine.catalog.store.children("sources/v") if folder]
+    assert len(versions) == 2 and engine.read_table("v").count() == 7
+    engine.drop_table("v")
+
+
 @pytest.mark.parametrize("name", ["", "a:b", "/a", "a/", "../a", "_x", "a//b", 3])
 def test_invalid_names(engine, name):
     with pytest.raises(ValueError):

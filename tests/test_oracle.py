@@ -3,7 +3,7 @@
 import pytest
 
 from tests.conftest import DATA, rows_of
-from vectide.plans import queries
+from vectide.plans import registry as queries
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ..functions.metrics import EPS, canonical, distance, list_matrix, literal, normalize, numpy_distance, pair_distance
 from .rows import ROW_ID, sample_rows, with_row_id
 
-#: Literals that an expression may hold; larger codebooks go to an Arrow kernel.
-LITERALS = 2048
+#: Literals that an expression may hold (more of them would not compile); larger codebooks go to an Arrow kernel.
+LITERALS = 256
 #: Codes that may be ranked by enumeration.
 ENUMERATED = 1 << 16
 #: Rows that training may hold on the driver; larger tables are sampled down to it.
@@ -219,11 +219,28 @@ def centroid_update(df: DataFrame, column: str, coding: Coding) -> DataFrame:
     """One full-table update as aggregations: rows (book, slot, members, centroid)."""
     spark = df.sparkSession
     cosine = canonical(coding.config.metric) == "cosine"
-    digits = F.array(*coding.digits(F.col(column)))
-    v = normalize(F.col(column)) if cosine else F.transform(column, lambda x: x.cast("double"))
-    members = df.select(v.alias("v"), F.posexplode(digits).alias("book", "slot")).filter("slot is not null")
-    flat = members.select("book", F.col("slot").cast("int").alias("slot"), F.posexplode("v").alias("at", "x"))
-    sums = flat.groupBy("book", "slot", "at").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("m"))
+    n, k = coding.books.shape[:2]
+
+    def add(batches):
+        total, count = np.zeros(coding.books.shape), np.zeros((n, k), np.int64)
+        for b in batches:
+            rows, good = list_matrix(b.column(0), coding.dim)
+            rows = rows[good & ~np.isnan(rows).any(1)]
+            for j, book in enumerate(coding.books):
+                nearest = numpy_distance(coding.config.metric, rows, book).argmin(1)
+                own = rows / np.maximum(np.sqrt((rows * rows).sum(1, keepdims=True)), EPS) if cosine else rows
+                np.add.at(total[j], nearest, own)
+                np.add.at(count[j], nearest, 1)
+        some = np.argwhere(count)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some[:, 0], pa.int32()), pa.array(some[:, 1], pa.int32()), pa.array(count[count > 0], pa.int64()), pa.array(list(total[count > 0]), pa.list_(pa.float64()))],
+            ["book", "slot", "m", "xs"],
+        )
+
+    # each task adds up its rows: books x slots rows of it are left
+    parts = df.select(column).mapInArrow(add, "book int, slot int, m long, xs array<double>")
+    flat = parts.select("book", "slot", "m", F.posexplode("xs").alias("at", "x"))
+    sums = flat.groupBy("book", "slot", "at").agg(F.sum("x").alias("s"), F.sum("m").alias("m"))
     old = books_frame(spark, coding)
     old = old.select("book", "slot", F.posexplode(normalize(F.col("centroid")) if cosine else F.col("centroid")).alias("at", "c"))
     new = old.join(sums, ["book", "slot", "at"], "left").withColumn("m", F.coalesce("m", F.lit(0).cast("long")))

@@ -52,10 +52,13 @@ class Catalog:
     # tables
 
     def make_table(self, name: str, df: DataFrame) -> DataFrame:
-        """Create or replace a table. Row order is kept by a hidden ordinal."""
+        """Create or replace a table. Row order is kept by a hidden ordinal. The version before stays until the next
+        one comes, so that frames which were planned on it can still run."""
         at = f"sources/{checked(name)}"
         if any(self.store.exists(f"sources/{'/'.join(name.split('/')[:i])}/{META}") for i in range(1, name.count("/") + 1)):
             raise ValueError(f"{name!r} lies inside another table")
+        if not self.store.exists(f"{at}/{META}") and next(self.store.walk(at, META), None):
+            raise ValueError(f"{name!r} holds other tables")
         hidden = [c for c in df.columns if c in (ROW_ID, CODE, CELL)]
         if hidden:
             raise ValueError(f"reserved column names: {hidden}")
@@ -64,10 +67,15 @@ class Catalog:
         with_row_id(df).write.parquet(self.store.full(f"{at}/v-{version}"))
         dims = self._dims(f"{at}/v-{version}", df.schema)
         self.store.write_json(f"{at}/{META}", {"version": version, "schema": df.schema.jsonValue(), "dims": dims})
-        if old:
-            self.store.delete(f"{at}/v-{old['version']}")
+        self._keep(at, version, old and old["version"])
         return self.table(name)
 
+    def _keep(self, at: str, *versions: str | None) -> None:
+        """Delete all other versions."""
+        for child, folder in self.store.children(at):
+            if folder and child.startswith("v-") and child.removeprefix("v-") not in versions:
+                self.store.delete(f"{at}/{child}")
+
     def _dims(self, at: str, schema: StructType) -> dict[str, int]:
         """Length of each vector column whose vectors are all of one length."""
         arrays = [f.name for f in schema if f.dataType.typeName() == "array" and f.dataType.elementType.typeName() in ("float", "double", "integer", "long", "short", "byte")]
@@ -118,8 +126,7 @@ class Catalog:
         books_frame(self.spark, coding).coalesce(1).write.parquet(self.store.full(f"{at}/v-{version}"))
         old = self.store.read_json(f"{at}/{META}") if self.store.exists(f"{at}/{META}") else None
         self.store.write_json(f"{at}/{META}", coding.meta() | {"version": version})
-        if old:
-            self.store.delete(f"{at}/v-{old['version']}")
+        self._keep(at, version, old and old["version"])
 
     def coding_meta(self, name: str) -> dict:
         at = f"codings/{checked(name)}/{META}"
@@ -164,8 +171,7 @@ class Catalog:
             # rebalancing splits a large cell over several tasks and files
             rows.hint("rebalance", CELL).write.partitionBy(CELL).parquet(self.store.full(f"{at}/v-{build}"))
             self.store.write_json(f"{at}/{META}", {"build": build, "table": meta["version"], "coding": version})
-            if old:
-                self.store.delete(f"{at}/v-{old['build']}")
+            self._keep(at, build, old and old["build"])
 
     def indexed(self, coding: str, source: str | Sequence[str], column: str, hidden: bool = False) -> DataFrame:
         """Source columns and the code; with ``hidden`` also the ordinal and the partition column."""

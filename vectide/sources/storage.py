@@ -2,11 +2,36 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
+def work_dir(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir, deleted when the interpreter ends.
+
+    Where the setting is missing, a local session gets a temporary folder; a cluster has no folder to fall back to.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="vectide-")
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+
+    def leave() -> None:
+        try:
+            Storage(spark, path).delete("")
+        except Exception:  # the session may have ended before the interpreter does
+            pass
+
+    atexit.register(leave)
+    return path
+
+
 class Storage:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
@@ -39,9 +64,12 @@ class Storage:
         out = fs.create(new, True)
         out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         out.close()
-        fs.delete(at, False)
-        if not fs.rename(new, at):
-            raise OSError(f"cannot replace {at.toString()}")
+        # a rename that overwrites: readers see the old file or the new one
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        context.rename(context.makeQualified(new), context.makeQualified(at), options)
 
     def read_json(self, path: str) -> dict:
         at, fs = self._at(path)
