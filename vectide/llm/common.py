@@ -6,6 +6,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -23,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset in a local session (tests)."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = getattr(shared_dir, "own", None)
         if not found:
             found = "file://" + tempfile.mkdtemp(prefix="vectide-")
@@ -51,8 +54,10 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 def release(spark: SparkSession) -> None:
     """Have Spark delete the shuffle files of frames that nothing refers to any more; else they stay until the driver
     happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first frees what Python still held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
 
 
 class Scratch:

@@ -131,7 +131,9 @@ def _of_counts(counts: np.ndarray) -> np.ndarray:
 
 
 ROWS = "kind int, shard int, range int, data binary"
-PAIRS, WORDS, STATS, ANSWERS, MODEL, ASKED = 0, 1, 2, 3, 4, 5
+PAIRS, WORDS, STATS, ANSWERS, MODEL = 0, 1, 2, 3, 4
+#: Of texts: what a block of them asks, the prints of its texts, what was found for them.
+ASKED, TEXTS, FOUND = 5, 6, 7
 
 
 def _batch(rows: list[tuple]):
@@ -303,10 +305,9 @@ def answers(tables: DataFrame, model: Model, shards: int) -> DataFrame:
     return tables.filter(F.col("kind") == WORDS).repartitionById(shards, "range").mapInArrow(answer, ROWS)
 
 
-def _asked(key: np.ndarray, doc: np.ndarray, rows: list[np.ndarray], shards: int, bits: int, kind: int, keep) -> Iterator[tuple]:
+def _asked(key: np.ndarray, doc: np.ndarray, shards: int, bits: int, keep) -> Iterator[tuple[int, bytes]]:
     """How often each text holds each key, by the keys' range; only ranges that ``keep`` names."""
-    where = part_of(key, shards, bits)
-    good = keep(where)
+    good = keep(part_of(key, shards, bits))
     if not good.all():
         key, doc = key[good], doc[good]
     order = np.lexsort((doc, key))
@@ -318,14 +319,26 @@ def _asked(key: np.ndarray, doc: np.ndarray, rows: list[np.ndarray], shards: int
     for s in np.unique(where).tolist():
         own = slice(*np.searchsorted(where, (s, s + 1)))
         new = np.flatnonzero(np.concatenate(([True], key[own][1:] != key[own][:-1])))
-        texts, at = np.unique(doc[own], return_inverse=True)
-        each = np.diff(np.concatenate((new, [len(at)])))
-        data = pack(steps(key[own][new]), _narrow(each), _narrow(at), _narrow(times[own]), *(x[texts] for x in rows))
-        yield ASKED, s if kind == PAIRS else 0, s if kind == WORDS else 0, data
+        each = np.diff(np.concatenate((new, [len(doc[own])])))
+        yield s, pack(steps(key[own][new]), _narrow(each), _narrow(doc[own]), _narrow(times[own]))
+
+
+BLOCKS = ROWS + ", block long"
+
+
+def _block_batch(kind: int, shard: int, r: int, data: bytes, block: int):
+    import pyarrow as pa
+
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((kind, shard, r, data, block), types, strict=True)], ["kind", "shard", "range", "data", "block"])
 
 
 def asked(texts: DataFrame, shards: int, bits: int, kind: int, part: int = 0, parts: int = 1) -> DataFrame:
-    """The words or pairs of texts (h1, h2, text), by range or shard; of the shards every ``parts``-th from ``part`` on."""
+    """The words or pairs of texts (h1, h2, text), by range or shard; of the shards every ``parts``-th from ``part`` on.
+
+    The texts of a task go in blocks. A block's prints make a row of their own, so that a text is a small number in
+    all its others.
+    """
 
     def ask(batches):
         import pyarrow as pa
@@ -334,14 +347,17 @@ def asked(texts: DataFrame, shards: int, bits: int, kind: int, part: int = 0, pa
 
         def out():
             a, b, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            h1, h2 = (np.concatenate(x) for x in zip(*prints, strict=True))
+            block = int(mixed(np.array([h1[0]], np.int64).view(U) + U(len(h1)) * U(31) + U(int(doc[0])))[0].view(np.int64))
             if kind == WORDS:
                 starts = a == START
                 a, doc = np.concatenate((b, a[starts])), np.concatenate((doc, doc[starts]))
             else:
                 a = pair_key(a, b, bits)
-            rows = [np.concatenate(x).view("<i8") for x in zip(*prints, strict=True)]
-            for row in _asked(a, doc, rows, shards, bits, kind, lambda s: s % parts == part):
-                yield _batch([row])
+            place = lambda s: (s, 0) if kind == PAIRS else (0, s)
+            yield _block_batch(TEXTS, *place(block % -(-shards // parts) * parts % shards), pack(h1, h2), block)
+            for s, data in _asked(a, doc, shards, bits, lambda s: s % parts == part):
+                yield _block_batch(ASKED, *place(s), data, block)
 
         for batch in batches:
             raw = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
@@ -358,22 +374,17 @@ def asked(texts: DataFrame, shards: int, bits: int, kind: int, part: int = 0, pa
         if held:
             yield from out()
 
-    return texts.mapInArrow(ask, ROWS)
-
-
-SUMS = "h1 long, h2 long, tokens long, missing long, value double"
+    return texts.mapInArrow(ask, BLOCKS)
 
 
-def sums(rows: DataFrame, column: str, shards: int, bits: int, model: Model) -> DataFrame:
-    """For each text and shard (or range) the sum of the values of its pairs (or words); counts of those, and of unseen ones."""
+def found(rows: DataFrame, column: str, shards: int, model: Model, bits: int) -> DataFrame:
+    """For each block and shard (or range) the sums of the values of its texts' pairs (or words); the prints go along."""
 
     def look(batches):
-        import pyarrow as pa
-
         keys, values, parts, told = np.zeros(0, U), np.zeros(0), [], []
         ready = False
         for batch in batches:
-            for kind, raw in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for kind, raw, block in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
                 if kind == ANSWERS:
                     told.append(unpack(raw, "<u8", "<u8", "<f4", "<f4"))
                 elif kind == PAIRS:
@@ -381,6 +392,8 @@ def sums(rows: DataFrame, column: str, shards: int, bits: int, model: Model) ->
                 elif kind == MODEL:
                     keys, values = unpack(raw, "<u8", "<f8")
                     keys = np.cumsum(keys)
+                elif kind == TEXTS:
+                    yield _block_batch(TEXTS, 0, 0, raw, block)
                 else:
                     if parts and not ready:
                         words = np.concatenate([np.cumsum(x[0]) for x in told])
@@ -392,20 +405,59 @@ def sums(rows: DataFrame, column: str, shards: int, bits: int, model: Model) ->
                         x, y = np.searchsorted(words, a), np.searchsorted(words, b)
                         values = model.beats(n, total[x], weight[x], lower[y])
                     ready = True
-                    key, each, at, times, h1, h2 = unpack(raw, "<u8", "<u4", "<u4", "<u4", "<i8", "<i8")
+                    key, each, at, times = unpack(raw, "<u8", "<u4", "<u4", "<u4")
                     key = np.cumsum(key)
-                    i = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-                    seen = keys[i] == key if len(keys) else np.zeros(len(key), bool)
-                    value = np.repeat(np.where(seen, values[i], 0.0) if len(keys) else np.zeros(len(key)), each)
+                    seen, value = np.zeros(len(key), bool), np.zeros(len(key))
+                    if len(keys):
+                        i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                        seen = keys[i] == key
+                        value[seen] = values[i[seen]]
+                    texts, at = np.unique(at, return_inverse=True)
                     n = times.astype(np.float64)
-                    cols = [np.bincount(at, n * x, len(h1)) for x in (1, np.repeat(~seen, each), value)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h1), pa.array(h2), pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2])],
-                        ["h1", "h2", "tokens", "missing", "value"],
-                    )
+                    tokens, missing, value = (np.bincount(at, n * x, len(texts)) for x in (1, np.repeat(~seen, each), np.repeat(value, each)))
+                    yield _block_batch(FOUND, 0, 0, pack(steps(texts.astype(U)), tokens.astype("<u8"), missing.astype("<u8"), value), block)
 
     order = F.when(F.col("kind") == ASKED, 1).otherwise(0)
-    return rows.repartitionById(shards, column).sortWithinPartitions(order).mapInArrow(look, SUMS)
+    return rows.repartitionById(shards, column).sortWithinPartitions(order).mapInArrow(look, BLOCKS)
+
+
+SUMS = "h1 long, h2 long, tokens long, missing long, value double"
+
+
+def by_text(rows: DataFrame, parts: int) -> DataFrame:
+    """A row per text of each block: its print, words and ends, unseen ones, and the sum of the values."""
+
+    def add(batches):
+        import pyarrow as pa
+
+        now, prints, held = None, None, []
+
+        def out():
+            h1, h2 = prints
+            sums = [np.zeros(len(h1)) for _ in range(3)]
+            for texts, *columns in held:
+                for s, v in zip(sums, columns, strict=True):
+                    s[np.cumsum(texts).astype(np.int64)] += v
+            some = sums[0] + np.abs(sums[2]) > 0
+            return pa.RecordBatch.from_arrays(
+                [pa.array(h1[some]), pa.array(h2[some]), pa.array(sums[0][some].astype(np.int64)), pa.array(sums[1][some].astype(np.int64)), pa.array(sums[2][some])],
+                ["h1", "h2", "tokens", "missing", "value"],
+            )
+
+        for batch in batches:
+            for kind, raw, block in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
+                if block != now and now is not None:
+                    yield out()
+                    held = []
+                now = block
+                if kind == TEXTS:
+                    prints = unpack(raw, "<i8", "<i8")
+                else:
+                    held.append(unpack(raw, "<u8", "<u8", "<u8", "<f8"))
+        if now is not None:
+            yield out()
+
+    return rows.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(add, SUMS)
 
 
 def quality(
@@ -450,20 +502,24 @@ def quality(
         return scored.select(F.col("__id").alias(id_col), "lang", "n_words", "perplexity", F.lit(None).cast("double").alias("threshold"), (F.col("n_words") > 0).alias("kept"))
     model = Model(of_pairs, *word_stats(tables, shards))
     answered = scratch.keep(answers(tables, model, shards), "answers")
+    release(spark)
     texts = rows.select("h1", "h2", "text")
-    words = answered.filter(F.col("kind") == MODEL).unionByName(asked(texts, shards, bits, WORDS))
-    found = scratch.keep(sums(words, "range", shards, bits, model), "words")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    none = F.lit(None).cast("long").alias("block")
+    words = answered.filter(F.col("kind") == MODEL).select("*", none).unionByName(asked(texts, shards, bits, WORDS))
+    sums = scratch.keep(by_text(found(words, "range", shards, model, bits), parts), "words")
     release(spark)
     for p in range(PASSES):
         own = tables.filter(F.col("kind") == PAIRS).unionByName(answered.filter(F.col("kind") == ANSWERS)).filter(F.col("shard") % PASSES == p)
-        part = sums(own.unionByName(asked(texts, shards, bits, PAIRS, p, PASSES)), "shard", shards, bits, model)
-        found = found.unionByName(scratch.keep(part.select("h1", "h2", F.lit(0).cast("long").alias("tokens"), F.lit(0).cast("long").alias("missing"), "value"), "pairs"))
+        pairs = own.select("*", none).unionByName(asked(texts, shards, bits, PAIRS, p, PASSES))
+        part = by_text(found(pairs, "shard", shards, model, bits), parts).select("h1", "h2", F.lit(0).cast("long").alias("tokens"), F.lit(0).cast("long").alias("missing"), "value")
+        sums = sums.unionByName(scratch.keep(part, "pairs"))
         release(spark)
     scratch.drop(answered)
     scratch.drop(tables)
     slim = scratch.keep(rows.drop("text"), "rows")
     times = slim.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"))
-    added = found.groupBy(F.col("h1").alias("__1"), F.col("h2").alias("__2")).agg(F.sum("tokens").alias("tokens"), F.sum("missing").alias("missing"), F.sum("value").alias("value"))
+    added = sums.groupBy(F.col("h1").alias("__1"), F.col("h2").alias("__2")).agg(F.sum("tokens").alias("tokens"), F.sum("missing").alias("missing"), F.sum("value").alias("value"))
     both = added.join(times, (F.col("h1") == F.col("__1")) & (F.col("h2") == F.col("__2")))
     n = F.expr("tokens div times")  # the words and both ends; an equal row asks for itself
     logs = (F.col("missing") * F.lit(math.log(model.floor)) + F.col("value")) / F.col("times")
