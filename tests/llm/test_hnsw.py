@@ -83,7 +83,7 @@ def test_forest_keeps_components():
 class Blind(H.Graph):
     """Finds nothing but a vector itself unless the beam is wide."""
 
-    def within(self, q, least, beam):
+    def within(self, q, least, beam, own=None):
         near = q @ self.unit.T
         return np.nonzero(near >= (least if beam > self.narrow else 1 - 1e-6))
 
@@ -114,6 +114,36 @@ def test_audit_asks_other_shards_and_late_nodes():
     assert g.audited_beam(H.SIMILAR)[0] > H.BEAM
 
 
+def test_large_classes_do_not_hide_small_ones():
+    r = np.random.default_rng(8)
+    v = r.normal(size=(2000, 32))
+    v[:500] = v[0] + r.normal(size=(500, 32)) * 0.02
+    v[1000:1200] = v[600:800] + r.normal(size=(200, 32)) * 0.05
+
+    class Half(H.Graph):
+        """Misses the partner of a pair unless all nodes are compared."""
+
+        def within(self, q, least, beam, own=None):
+            a, b = super().within(q, least, beam, own)
+            good = np.ones(len(a), bool) if beam >= len(self.unit) else (np.bincount(a, minlength=len(q))[a] > 5) | (b == (own[a] if own is not None else b))
+            return a[good], b[good]
+
+    assert Half(H._unit(v)).audited_beam(H.SIMILAR) == (2000, 1.0)
+
+
+@pytest.mark.parametrize("beam", [48, 4000])
+def test_hits_beyond_the_beam_are_found(beam):
+    r = np.random.default_rng(9)
+    v = r.normal(size=(3000, 32))
+    v[:700] = v[0] + r.normal(size=(700, 32)) * 0.02
+    g = H.Graph(H._unit(v))
+    own = np.arange(3000)
+    for start in (own, np.full(3000, -1)):
+        a, b = g.within(g.unit[:300], H.SIMILAR, beam, start[:300])
+        assert np.array_equal(np.bincount(a, minlength=300), ((g.unit[:300] @ g.unit.T) >= H.SIMILAR).sum(1))
+        assert len(set(zip(a.tolist(), b.tolist(), strict=True))) == len(a)
+
+
 def test_rare_pairs_are_found(spark):
     r = np.random.default_rng(7)
     v = r.normal(size=(3000, 48))

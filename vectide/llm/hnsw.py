@@ -133,8 +133,8 @@ class Graph:
         ids[:, 0] = entry
         sims[:, 0] = np.einsum("ij,ij->i", q, unit[entry])
         opened = ids < 0
-        seen = np.zeros((len(q), len(unit)), bool)
-        seen[np.arange(len(q)), entry] = True
+        seen, now = self._stamps(len(q))
+        seen[np.arange(len(q)), entry] = now
         active = np.arange(len(q))
         expand = EXPAND if beam > 1 else 1
         while len(active):
@@ -152,10 +152,10 @@ class Graph:
             near.sort(axis=1)
             fresh = near >= 0
             fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
-            fresh &= ~seen[active[:, None], np.maximum(near, 0)]
+            fresh &= seen[active[:, None], np.maximum(near, 0)] != now
             r, c = np.nonzero(fresh)
             node = near[r, c]
-            seen[active[r], node] = True
+            seen[active[r], node] = now
             s = np.full(near.shape, -2, np.float32)
             s[r, c] = np.einsum("ij,ij->i", q[active[r]], unit[node])
             worst = sims[active, -1]
@@ -170,27 +170,60 @@ class Graph:
                 sims[a], ids[a], opened[a] = (np.take_along_axis(x, top, 1) for x in (all_s, all_i, all_o))
         return ids, sims
 
-    def within(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs of similarity ``least`` or more. A query whose beam fills up with hits is asked again
-        with a wider beam, until hits are less than half of it or the beam holds the whole shard."""
+    def _stamps(self, rows: int) -> tuple[np.ndarray, int]:
+        """A table of queries by nodes in which the number returned stands nowhere yet; cleared once in 255 uses."""
+        held = self.__dict__.setdefault("_seen", [np.zeros((0, len(self.unit)), np.uint8), 0])
+        if len(held[0]) < rows or held[1] == 255:
+            held[:] = [np.zeros((max(rows, len(held[0])), len(self.unit)), np.uint8), 0]
+        held[1] += 1
+        return held[0], held[1]
+
+    def within(self, q: np.ndarray, least: float, beam: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) pairs of similarity ``least`` or more.
+
+        A query that is itself a node (``own``, else -1) starts there, any other descends from the entry node. From the
+        hits of its beam the search goes on over the links of hits to further ones, however many there are. A beam
+        that is not narrower than the shard compares all nodes instead.
+        """
         out: list = []
-        todo = np.arange(len(q))
-        while len(todo) and len(self.unit):
-            full: list = []
-            step = max(1, min(TOGETHER, (1 << 24) // (len(self.unit) + 64 * beam)))
-            for lo in range(0, len(todo), step):
-                part = todo[lo : lo + step]
-                at = np.full(len(part), self.order[0], np.int32)
+        step = max(1, min(TOGETHER, (1 << 24) // (len(self.unit) + 64)))
+        for lo in range(0, len(q) if len(self.unit) else 0, step):
+            part = q[lo : lo + step]
+            if beam >= len(self.unit):
+                r, node = np.nonzero(part @ self.unit.T >= least)
+                out.append((r + lo, node))
+                continue
+            at = np.full(len(part), self.order[0], np.int32)
+            if own is not None:
+                at = np.where(own[lo : lo + step] >= 0, own[lo : lo + step], at).astype(np.int32)
+            away = np.flatnonzero(at == self.order[0])
+            if len(away):
                 for k in range(len(self.links) - 1, 0, -1):
-                    at = self._beam(q[part], at, k, 1)[0][:, 0]
-                ids, sims = self._beam(q[part], at, 0, beam)
-                hits = sims >= least
-                more = (hits.sum(1) * 2 > ids.shape[1]) & (ids.shape[1] < len(self.unit))
-                r, c = np.nonzero(hits & ~more[:, None])
-                out.append((part[r], ids[r, c]))
-                full.append(part[more])
-            todo = np.concatenate(full) if full else todo[:0]
-            beam *= 4
+                    at[away] = self._beam(part[away], at[away], k, 1)[0][:, 0]
+            ids, sims = self._beam(part, at, 0, beam)
+            r, c = np.nonzero(sims >= least)
+            if not len(r):
+                continue
+            node = ids[r, c]
+            out.append((r + lo, node))
+            seen, now = self._stamps(len(part))
+            seen[r, node] = now
+            todo = [(r, node)]
+            while todo:
+                r, node = todo.pop()
+                if len(r) > 1 << 16:
+                    todo.append((r[1 << 16 :], node[1 << 16 :]))
+                    r, node = r[: 1 << 16], node[: 1 << 16]
+                near = self.links[0][node]
+                r, node = np.repeat(r, near.shape[1]), near.ravel()
+                new = (node >= 0) & (seen[r, node] != now)
+                code = np.unique(r[new].astype(np.int64) * len(self.unit) + node[new])
+                r, node = code // len(self.unit), code % len(self.unit)
+                seen[r, node] = now
+                hit = np.einsum("ij,ij->i", part[r], self.unit[node]) >= least
+                if hit.any():
+                    out.append((r[hit] + lo, node[hit]))
+                    todo.append((r[hit], node[hit]))
         if not out:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -199,31 +232,37 @@ class Graph:
         """The first beam whose hits hold ``recall`` of the links that brute force finds, and the share that it holds.
 
         Asked are nodes drawn evenly over the order of insertion, whose hits with themselves do not count, and
-        ``others``, vectors that are not in the shard. If they have fewer than LEAST_LINKS links, the first beam is
-        SAFE_BEAM, and vectors made at just ``least`` from each drawn node must find that node as well.
+        ``others``, vectors that are not in the shard. Both the links as a whole and the mean over the vectors that have
+        any must reach the share, so that no large class hides the small ones. If the nodes or the others have fewer
+        than LEAST_LINKS links, the first beam is SAFE_BEAM, and vectors made at just ``least`` from each drawn node
+        must find that node as well. If no beam does, all nodes are compared.
         """
         n = len(self.unit)
-        picked = self.order[np.arange(min(sample, n)) * n // max(1, min(sample, n))]
-        q, own = self.unit[picked], picked.astype(np.int64)
-        if others is not None and len(others):
-            q, own = np.concatenate((q, others)), np.concatenate((own, np.full(len(others), -1)))
-
-        def links(q):
-            pairs = [np.nonzero(q[lo : lo + 64] @ self.unit.T >= least) for lo in range(0, len(q), 64)]
-            return sum(int((c != own[lo * 64 + r]).sum()) for lo, (r, c) in enumerate(pairs))
-
-        true, beam, made = links(q), BEAM, None
-        if true < LEAST_LINKS:
-            beam, made = SAFE_BEAM, self._apart(picked, min(1.0, least + SLACK))
-        while True:
-            a, b = self.within(q, least, beam)
-            share = min(1.0, int((b != own[a]).sum()) / true) if true else 1.0
-            if made is not None and len(picked):
+        picked = self.order[np.arange(min(sample, n)) * n // max(1, min(sample, n))].astype(np.int64)
+        others = self.unit[:0] if others is None else others
+
+        def found(q, own, beam):
+            a, b = self.within(q, least, beam, own)
+            return np.bincount(a[b != own[a]], minlength=len(q))
+
+        def share(got, true):
+            some = true > 0
+            return min(got.sum() / true.sum(), (got[some] / true[some]).mean()) if some.any() else 1.0
+
+        sets = [(self.unit[picked], picked)] + [(others, np.full(len(others), -1))] * bool(len(others))
+        true = [found(q, own, n) for q, own in sets]
+        safe = min(t.sum() for t in true) < LEAST_LINKS
+        made = self._apart(picked, min(1.0, least + SLACK)) if safe else None
+        beam = SAFE_BEAM if safe else BEAM
+        while beam < n:
+            reached = min(share(found(q, own, beam), t) for (q, own), t in zip(sets, true, strict=True))
+            if safe:
                 a, b = self.within(made, least, beam)
-                share = min(share, int((b == picked[a]).sum()) / len(picked))
-            if share >= recall or beam >= n:
-                return beam, share
+                reached = min(reached, (b == picked[a]).sum() / len(picked))
+            if reached >= recall:
+                return beam, float(reached)
             beam *= 2
+        return n, 1.0
 
     def _apart(self, nodes: np.ndarray, cosine: float) -> np.ndarray:
         """For each node a unit vector at this cosine from it, in a random direction."""
@@ -412,9 +451,12 @@ def _ask(nodes: DataFrame, paths: list[tuple[int, str]], least: float) -> DataFr
                 with files.reading(path) as f:
                     graph, more = Graph.load(f)
                 links = np.zeros(len(node), np.int64)
+                order = np.argsort(more["node"])
+                at = np.minimum(np.searchsorted(more["node"], node, sorter=order), len(order) - 1)
+                own = np.where(more["node"][order[at]] == node, order[at], -1)
                 a, b = [], []
                 for lo in range(0, len(node), TOGETHER):
-                    q, hit = graph.within(unit[lo : lo + TOGETHER], least - SLACK, int(more["beam"]))
+                    q, hit = graph.within(unit[lo : lo + TOGETHER], least - SLACK, int(more["beam"]), own[lo : lo + TOGETHER])
                     q = q + lo
                     for at in range(0, len(q), 1 << 17):
                         x, y = q[at : at + (1 << 17)], hit[at : at + (1 << 17)]
