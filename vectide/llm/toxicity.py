@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import Scratch, small_batches, table
 
 #: Labelled rows of each class that the fit may use (those of the smallest hashes), score from which 1 is predicted.
 FIT_ROWS, THRESHOLD = 4000, 0.7
@@ -20,8 +20,10 @@ LEXICONS, PATTERNS, FEATURES = 8, 32, 1024
 #: A term is suspicious or innocent from this log-likelihood ratio on, in so many documents at least.
 EVIDENCE, SUPPORT = 16.0, 3
 PREFIXES = (4, 5, 6, 7)
-#: Log odds that a label gives the label model, beside the other voters.
+#: Log odds that a label gives the label model while it estimates the voters, beside the other voters.
 LABEL_ODDS = 8.0
+#: Terms that a task counts before it hands the counts on.
+HELD_TERMS = 1 << 17
 STEP = 1 << 20
 #: Insults that vote before any are learnt.
 SEED = frozenset("idiot moron stupid loser scum trash pathetic worthless disgusting bastard asshole bitch shit fuck".split())
@@ -57,19 +59,6 @@ def terms_of(words: set[str]) -> set[str]:
     return out
 
 
-def evidence(with_1: np.ndarray, with_0: np.ndarray, n1: int, n0: int) -> np.ndarray:
-    """Signed log-likelihood ratio of a term's documents in the two classes; positive where class 1 has more."""
-    a, b = with_1.astype(float), with_0.astype(float)
-    p, p1, p0 = (a + b) / (n1 + n0), a / n1, b / n0
-
-    def ll(k, n, q):
-        q = np.clip(q, 1e-12, 1 - 1e-12)
-        return k * np.log(q) + (n - k) * np.log1p(-q)
-
-    g = 2 * (ll(a, n1, p1) + ll(b, n0, p0) - ll(a, n1, p) - ll(b, n0, p))
-    return np.where(p1 >= p0, g, -g)
-
-
 def votes(docs: list[set[str]], lexicons: list[set[str]], patterns: list[str]) -> np.ndarray:
     """Documents by voters: 1 toxic, -1 clean, 0 abstains. Lexicon voters, pattern voters, the seed list, two clean voters."""
     every = set().union(*lexicons, patterns) if lexicons or patterns else set()
@@ -128,8 +117,8 @@ def _within(v: np.ndarray, post: np.ndarray) -> np.ndarray:
 class LabelModel:
     """P(vote | class) of each voter and the correlation of voters beyond the class.
 
-    Where labels are known, they start the fit and stay as one more voter of fixed strength, so that the hidden class
-    is the labelled one; without them the voters alone decide.
+    Where labels are known, they start the fit and are one more voter of fixed strength while the voters' tables are
+    estimated, so that the hidden class is the labelled one. posterior() is made of the votes alone.
     """
 
     prior: float
@@ -154,16 +143,19 @@ class LabelModel:
             for _ in range(rounds):
                 counts = np.einsum("cn,nmk->cmk", np.stack((1 - post, post)), onehot) + 0.1
                 out = cls(prior, counts / counts.sum(2, keepdims=True), correlation, weight)
-                old, post = post, out.posterior(v, label)
+                old, post = post, _logistic(out.odds(v) + label)
                 if np.abs(post - old).max() < 1e-6:
                     break
             correlation = _within(v, post)
         return out
 
-    def posterior(self, v: np.ndarray, label: np.ndarray | float = 0.0) -> np.ndarray:
+    def posterior(self, v: np.ndarray) -> np.ndarray:
+        return _logistic(self.odds(v))
+
+    def odds(self, v: np.ndarray) -> np.ndarray:
         ratio = np.log(self.table[1]) - np.log(self.table[0])
         say = ratio[np.arange(v.shape[1])[None, :], v.astype(int) + 1]
-        return _logistic(np.log(self.prior / (1 - self.prior)) + (say * self.weight).sum(1) + label)
+        return np.log(self.prior / (1 - self.prior)) + (say * self.weight).sum(1)
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 2e-4, rounds: int = 400) -> tuple[np.ndarray, float]:
@@ -182,54 +174,10 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 2e-4, rounds: int =
     return w, b
 
 
-def fit(docs: list[list[str]], labels: list[int]) -> tuple[dict[str, float], float]:
-    """Weights of terms and the bias, from the distinct words of each document and its label.
-
-    Labels choose the voters' terms and anchor the label model; the classifier learns the label model's posteriors.
-    Terms are made twice, once to count and once to vote, so that only those of one document are held.
-    """
-    y = np.array(labels)
-    n1, n0 = int(y.sum()), int((y == 0).sum())
-    if not n1 or not n0:
-        return dict.fromkeys(sorted(SEED), 6.0), -3.0
-    with_1 = Counter(t for words, label in zip(docs, labels, strict=True) if label for t in terms_of(set(words)))
-    with_0: Counter[str] = Counter()
-    common = Counter(w for words, label in zip(docs, labels, strict=True) if not label for w in words)
-    for words, label in zip(docs, labels, strict=True):
-        if not label:
-            with_0.update(t for t in terms_of(set(words)) if t in with_1)
-    only = sorted(w for w in common if w not in with_1)
-    names = np.array([*sorted(with_1), *only], object)
-    c1 = np.array([with_1[x] for x in names])
-    c0 = np.array([with_0[x] if x in with_1 else common[x] for x in names])
-    g = evidence(c1, c0, n1, n0)
-    order = sorted(np.flatnonzero(np.abs(g) >= EVIDENCE).tolist(), key=lambda i: (-g[i], names[i]))
-    toxic = [names[i] for i in order if g[i] > 0 and c1[i] >= SUPPORT and c1[i] / n1 >= 4 * c0[i] / n0]
-    words = [x for x in toxic if not x.endswith("*")][:FEATURES]
-    patterns = [x for x in toxic if x.endswith("*")][:PATTERNS]
-    lexicons = [set() for _ in range(LEXICONS)]
-    for x in words:
-        lexicons[zlib.crc32(x.encode()) % LEXICONS].add(x)
-    innocent = [names[i] for i in reversed(order) if g[i] < 0][: FEATURES // 8]
-    chosen = (toxic[: FEATURES - len(innocent)] + innocent) or sorted(SEED)
-    used = {*chosen, *words, *patterns, *SEED}
-    # a document of other words still has terms: one that nothing else refers to
-    terms = [terms_of(set(d)) & used or ({""} if d else set()) for d in docs]
-    v = votes(terms, lexicons, patterns)
-    model = LabelModel.fit(v, min(max(n1 / (n1 + n0), 0.02), 0.98), known=y)
-    soft = model.posterior(v, LABEL_ODDS * (2.0 * y - 1))
-    at = {x: i for i, x in enumerate(chosen)}
-    x = np.zeros((len(terms), len(chosen)), np.float32)
-    for i, t in enumerate(terms):
-        x[i, [at[z] for z in t if z in at]] = 1
-    w, b = fit_linear(x, soft)
-    return {z: float(k) for z, k in zip(chosen, w, strict=True) if abs(k) > 1e-6}, float(b)
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> tuple[dict[str, float], float]:
-    """Fit on at most ``rows`` labelled documents of each class whose crc32(id as text) mod 3 is not 1."""
-    small_batches(docs.sparkSession)
-    own = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("__y"))
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
+    """(id, words, y): distinct words of at most ``rows`` labelled documents of each class whose crc32(id as text) mod 3
+    is not 1. Of an id with several texts the one of the smallest hash counts. ``labels`` has the id under ``id_col`` or as doc_id."""
+    own = labels.select(F.col(id_col if id_col in labels.columns else "doc_id").alias("__id"), F.col("toxic").cast("int").alias("__y"))
     own = own.filter("__id is not null and __y in (0, 1)").groupBy("__id").agg(F.max("__y").alias("__y"))
     own = own.filter(F.crc32(F.col("__id").cast("string")) % 3 != 1)
     order = [F.xxhash64("__id"), F.col("__id")]
@@ -237,17 +185,127 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     zeros = own.filter("__y = 0").orderBy(*order).limit(rows)
     picked = F.broadcast(ones.unionByName(zeros))  # 2 * rows ids at most
     texts = docs.select(F.col(id_col).alias("__doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    texts = texts.join(picked, F.col("__doc") == F.col("__id")).select("__id", "text", "__y")
+    texts = texts.join(picked, F.col("__doc") == F.col("__id")).select("__id", "text", "__y", F.xxhash64("text").alias("h"))
 
     def words(batches):
         import pyarrow as pa
 
         for b in batches:
             found = [sorted(words_of(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(found, pa.list_(pa.string())), b.column(2)], ["id", "words", "y"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(found, pa.list_(pa.string())), b.column(2), b.column(3)], ["id", "words", "y", "h"])
+
+    found = texts.mapInArrow(words, "id string, words array<string>, y int, h long")
+    return found.groupBy("id").agg(F.min_by("words", "h").alias("words"), F.first("y").alias("y"))
+
+
+def term_counts(words: DataFrame) -> DataFrame:
+    """(term, c1, c0): documents of each class that hold a term; each task adds up its own first."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        held: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+
+        def out():
+            names = sorted({*held[0], *held[1]})
+            cols = [names, [held[1][x] for x in names], [held[0][x] for x in names]]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["term", "c1", "c0"])
+
+        for b in batches:
+            for found, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                held[y].update(terms_of(set(found)))
+                if len(held[0]) + len(held[1]) > HELD_TERMS:
+                    yield out()
+                    held[0].clear()
+                    held[1].clear()
+        yield out()
+
+    return words.mapInArrow(count, "term string, c1 long, c0 long").groupBy("term").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
+
+
+def with_evidence(counts: DataFrame, n1: int, n0: int) -> DataFrame:
+    """The signed log-likelihood ratio ``g`` of a term's documents in the two classes; positive where class 1 has more."""
+    p1, p0, p = F.col("c1") / n1, F.col("c0") / n0, (F.col("c1") + F.col("c0")) / (n1 + n0)
 
-    got = texts.mapInArrow(words, "id string, words array<string>, y int").dropDuplicates(["id"]).toArrow().sort_by("id")
-    return fit(got.column("words").to_pylist(), got.column("y").to_pylist())
+    def ll(k, n, q):
+        q = F.least(F.greatest(q, F.lit(1e-12)), F.lit(1 - 1e-12))
+        return F.col(k) * F.log(q) + (n - F.col(k)) * F.log1p(-q)
+
+    g = 2 * (ll("c1", n1, p1) + ll("c0", n0, p0) - ll("c1", n1, p) - ll("c0", n0, p))
+    return counts.withColumn("g", F.when(p1 >= p0, g).otherwise(-g))
+
+
+@dataclass
+class Terms:
+    """Terms of the voters and of the classifier."""
+
+    lexicons: list[set[str]]
+    patterns: list[str]
+    chosen: list[str]
+
+    def used(self) -> set[str]:
+        return {*self.chosen, *self.patterns, *SEED}.union(*self.lexicons)
+
+
+def mined(words: DataFrame, n1: int, n0: int, scratch: Scratch) -> Terms:
+    """The terms that tell the labels apart; at most 2 * FEATURES + PATTERNS of them reach the driver."""
+    star = F.col("term").endswith("*")
+    told = with_evidence(term_counts(words), n1, n0).filter((F.abs("g") >= EVIDENCE) & ((F.col("g") > 0) | ~star | (F.col("c1") > 0)))
+    told = scratch.keep(told, "terms")
+    toxic = told.filter((F.col("g") > 0) & (F.col("c1") >= SUPPORT) & (F.col("c1") * n0 >= 4 * F.col("c0") * n1))
+    top = lambda df, n: [r.term for r in df.orderBy(F.desc(F.abs("g")), "term").limit(n).select("term").collect()]
+    lexicons = [set() for _ in range(LEXICONS)]
+    for x in top(toxic.filter(~star), FEATURES):
+        lexicons[zlib.crc32(x.encode()) % LEXICONS].add(x)
+    innocent = top(told.filter("g < 0"), FEATURES // 8)
+    return Terms(lexicons, top(toxic.filter(star), PATTERNS), (top(toxic, FEATURES - len(innocent)) + innocent) or sorted(SEED))
+
+
+def hits(words: DataFrame, terms: Terms) -> tuple[list[set[str]], np.ndarray]:
+    """Of each document, by id, the mined terms that it holds (and the empty term, if it holds any word); the labels."""
+    used = sorted(terms.used())
+    shared = words.sparkSession.sparkContext.broadcast(used)
+
+    def find(batches):
+        import pyarrow as pa
+
+        at = {x: i for i, x in enumerate(shared.value)}
+        for b in batches:
+            found = [sorted(at[x] for x in terms_of(set(w)) & at.keys()) + [-1] * bool(w) for w in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int16())), b.column(2)], ["id", "hits", "y"])
+
+    got = words.mapInArrow(find, "id string, hits array<smallint>, y int").toArrow().sort_by("id")
+    return [{used[i] if i >= 0 else "" for i in x} for x in got.column("hits").to_pylist()], got.column("y").to_numpy()
+
+
+def fit(docs: list[set[str]], y: np.ndarray, terms: Terms) -> tuple[dict[str, float], float]:
+    """Weights of terms and the bias: the classifier learns the posteriors that the label model makes of the votes."""
+    v = votes(docs, terms.lexicons, terms.patterns)
+    model = LabelModel.fit(v, float(np.clip(y.mean(), 0.02, 0.98)), known=y)
+    at = {x: i for i, x in enumerate(terms.chosen)}
+    x = np.zeros((len(docs), len(at)), np.float32)
+    for i, t in enumerate(docs):
+        x[i, [at[z] for z in t if z in at]] = 1
+    w, b = fit_linear(x, model.posterior(v))
+    return {z: float(k) for z, k in zip(terms.chosen, w, strict=True) if abs(k) > 1e-6}, float(b)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> tuple[dict[str, float], float]:
+    """Fit on at most ``rows`` labelled documents of each class, none of them held out.
+
+    Their words stay in a scratch table. The driver gets the mined terms, and for each document which of them it holds:
+    2 * rows sets of at most 2 * FEATURES + PATTERNS small numbers, however long the texts are.
+    """
+    small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    words = scratch.keep(labelled(docs, labels, id_col, text_col, rows), "words")
+    n = {r.y: r.n for r in words.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not n.get(1) or not n.get(0):
+        return dict.fromkeys(sorted(SEED), 6.0), -3.0
+    terms = mined(words, n[1], n[0], scratch)
+    model = fit(*hits(words, terms), terms)
+    scratch.drop(words)
+    return model
 
 
 class Scorer:
@@ -290,9 +348,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Many voters (mined lexicons and prefix patterns, a seed list, and voters for clean text) are weighed by a label
     model, which estimates their accuracies and their correlations within a class; a linear classifier on words and
-    prefixes learns its posteriors. Labels of held-out rows (crc32 of the id as text mod 3 = 1) are never read; an id
+    prefixes learns its posteriors. Labels choose the voters' terms and take part in the estimate of the voters' accuracies; they
+    are no part of the posteriors that the classifier learns. Labels of held-out rows (crc32 of the id as text mod 3 = 1) are never read; an id
     with labels of both kinds counts as toxic; null labels are left out. Without labels of both classes the seed list
-    alone scores. Null texts are empty; a null id is not held out; repeated rows are scored alike; other columns are
+    alone scores. Of an id with several texts one trains, the same in each run. Null texts are empty and very long ones are read in steps; a null id is not held out; repeated rows are scored alike; other columns are
     ignored; an empty table gives no rows.
     """
     out = scores(docs, train(docs, labels, id_col, text_col), id_col, text_col)
