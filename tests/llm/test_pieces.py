@@ -1,11 +1,10 @@
 import random
 
-import numpy as np
 import public_tokenizers as P
 import pytest
 import regex
 
-from vectide.llm import pieces, tokenout
+from vectide.llm import pieces
 
 PARTS = ["word", " ", "  ", "\n", "\t", " ", " ", "\x1c", "'s", "don't", "é", "日本", "🙂", "12", "!", " a", "b ", "<|x|>", "́"]
 
@@ -33,21 +32,3 @@ def test_pieces_are_those_of_the_text(monkeypatch, limit):
     all_ = texts()
     for i in range(0, len(all_), 7):
         assert [sum(x) for x in made(all_[i : i + 7])] == [len(own.findall(t)) for t in all_[i : i + 7]]
-
-
-@pytest.mark.parametrize("long", [10, 1 << 20])
-@pytest.mark.parametrize("pattern", [P.PATTERN, r"\S+|\s+"])
-def test_ids_are_the_library_s(monkeypatch, long, pattern):
-    monkeypatch.setattr(tokenout, "LONG", long)
-    enc, _ = tokenout.encoder(P.path("byte_bpe_50k.tiktoken"), pattern)
-    want = [enc.encode_ordinary(t) for t in texts(60)]
-    assert tokenout.token_counts(enc, pattern)(texts(60)) == [len(x) for x in want]
-    assert [np.frombuffer(x, "<u2").tolist() for x in tokenout.token_ids(enc, pattern, np.dtype("<u2"))(texts(60))] == want
-
-
-def test_segments_are_cuts():
-    for t in texts(40):
-        got = list(pieces.segments(t, 20))
-        assert "".join(got) == t
-        own = regex.compile(pieces.PATTERN)
-        assert [x for p in got for x in own.findall(p)] == own.findall(t)

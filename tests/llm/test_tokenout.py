@@ -64,3 +64,22 @@ def test_reading_resumes_at_any_slot(written):
 
 def test_empty_table(spark, tmp_path):
     assert T.materialise(spark.createDataFrame([], "doc_id long, text string"), f"{tmp_path}/s", PATH, PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("window", [1, 7, 16, 1000])
+def test_windows_are_permuted_in_themselves(window):
+    index = np.arange(100)
+    got = T.windowed_slots(index, 100, window)
+    assert sorted(got.tolist()) == index.tolist() and np.array_equal(got // window, index // window)
+    assert np.array_equal(T.windowed_slots(index, 100, None), T.slots(index, 100))
+
+
+def test_order_of_files_is_kept_by_windows(spark, tmp_path):
+    """Whatever order the scan takes the files in, the stream follows their names, and shards follow the stream."""
+    rows = [(i, f"word{i} " * (5 + 400 * (i % 40 == 7))) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    got = T.materialise(docs, f"{tmp_path}/out", PATH, PATTERN, seq_tokens=64, shard_seqs=16, window=16).collect()
+    by_seq = sorted(got, key=lambda r: (r.seq, r["at"]))
+    assert [i for k, i in enumerate(r.doc_id for r in by_seq) if not k or by_seq[k - 1].doc_id != i] == list(range(200))
+    assert all(r.slot // 16 == r.seq // 16 == r.shard for r in got)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from itertools import chain
 
 #: Fixed value: the pre-tokenizer pattern of byte-level BPE for which cut() is proven (that of ByteLevel in tokenizers).
@@ -23,15 +23,6 @@ def cut(text: str) -> list[str]:
     return [p[1:] if i else p for i, p in enumerate(_CUT.split(text))]
 
 
-def segments(text: str, most: int = 1 << 20) -> Iterator[str]:
-    """The text in runs of pieces of about ``most`` characters, so that no list of a huge text's pieces is held."""
-    at = 0
-    while len(text) - at > most and (m := _CUT.search(text, at + most)):
-        yield text[at : m.start()]
-        at = m.start()
-    yield text[at:] if at else text
-
-
 def odd(piece: str) -> bool:
     """Whether a split at each space is no cut() at this piece's ends."""
     return not piece or piece[0].isspace() or piece[-1].isspace()

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import zstandard
@@ -15,13 +14,10 @@ from pyspark.sql import functions as F
 
 from . import files
 from .common import Scratch, small_batches, table
-from .pieces import PATTERN, Pieces, segments
 
 #: Tokens of a sequence, sequences of a shard file, and the key of the order.
 SEQ_TOKENS, SHARD_SEQS, KEY = 2048, 4096, 20260701
 ROUNDS = 6
-#: Characters above which a text is encoded in segments, texts encoded together.
-LONG, TOGETHER = 1 << 20, 64
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -77,31 +73,9 @@ def encoder(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1
 
 
-def many(each: Callable[[list[str]], list], join: Callable, pattern: str) -> Callable[[list[str]], list]:
-    """``each`` for many texts, from values of pieces joined by ``join``: a piece is encoded once, where ``pattern``
-    encodes pieces independently."""
-    if pattern != PATTERN:
-        return each
-    pieces = Pieces(each)
-
-    def of(texts: list[str]) -> list:
-        out = [join(x) for x in pieces([t if len(t) <= LONG else "" for t in texts])]
-        for i, t in enumerate(texts):
-            if len(t) > LONG:
-                out[i] = join(join(x) for s in segments(t) for x in pieces([s]))
-        return out
-
-    return of
-
-
-def token_counts(enc, pattern: str) -> Callable[[list[str]], list[int]]:
-    """Counts the tokens of ordinary texts; without special tokens no string is special."""
-    return many(lambda texts: [len(enc.encode_ordinary(t)) for t in texts], sum, pattern)
-
-
-def token_ids(enc, pattern: str, dtype: np.dtype) -> Callable[[list[str]], list[bytes]]:
-    """Encodes ordinary texts as the bytes of their ids."""
-    return many(lambda texts: [np.array(enc.encode_ordinary(t), dtype).tobytes() for t in texts], b"".join, pattern)
+def token_ids(enc, text: str) -> list[int]:
+    """Ids of ordinary text; without special tokens no string is special."""
+    return enc.encode_ordinary(text)
 
 
 def _in_files(docs: DataFrame, columns: list[Column]) -> DataFrame:
@@ -163,11 +137,10 @@ def materialise(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        count, n, part = token_counts(encoder(tokenizer_path, pattern)[0], pattern), Counter(), TaskContext.get().partitionId()
+        enc, n, part = encoder(tokenizer_path, pattern)[0], Counter(), TaskContext.get().partitionId()
         for b in batches:
             for run, own in _runs(b):
-                texts = own.column(1).to_pylist()
-                n[run] += len(texts) + sum(sum(count(texts[i : i + TOGETHER])) for i in range(0, len(texts), TOGETHER))
+                n[run] += sum(len(token_ids(enc, t)) + 1 for t in own.column(1).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), pa.array([*n], pa.string()), pa.array([*n.values()], pa.int64())], ["part", "run", "n"])
 
     # a row per partition and file split in it
@@ -185,17 +158,14 @@ def materialise(
 
         enc, end_id = encoder(tokenizer_path, pattern)
         dtype = np.dtype("<u2" if end_id < 65536 else "<u4")
-        ids_of, end = token_ids(enc, pattern, dtype), np.array([end_id], dtype).tobytes()
         zipper = zstandard.ZstdCompressor(level=1)
         place, done_tokens = known.value, Counter()
         for b, run in ((own, run) for batch in batches for run, own in _runs(batch)):
             out = [[] for _ in range(6)]
             mine = TaskContext.get().partitionId(), run
             at_token = place[mine][0] + done_tokens[run]
-            texts = b.column(1).to_pylist()
-            encoded = chain.from_iterable(ids_of(texts[i : i + TOGETHER]) for i in range(0, len(texts), TOGETHER))
-            for one, raw in zip(b.column(0).to_pylist(), encoded, strict=True):
-                ids = np.frombuffer(raw + end, dtype)
+            for one, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids = np.array([*token_ids(enc, t), end_id], dtype)
                 done, piece = 0, 0
                 while done < len(ids):
                     at = (at_token + done) % seq_tokens
