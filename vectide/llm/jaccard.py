@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bit_table, by_bytes, components, in_bits, small_batches, table
+from .common import Scratch, bit_table, by_bytes, components, in_bits, release, small_batches, table
 from .words import U, hashed, mixed, shingles
 
 #: Words of a shingle; similarity that links, in hundredths.
@@ -506,6 +506,7 @@ def _merge_classes(scratch: Scratch, pairs: DataFrame, members: DataFrame, of: D
         left = scratch.keep(left.filter("ta <> tb").select(*shown), "left")
         if not left.limit(1).count():
             return upper
+        release(spark)
         sides = _sides(left, "pair", "score")
         if most is not None:
             rank = F.row_number().over(Window.partitionBy("r", "p").orderBy(F.desc("score"), "pair"))
@@ -564,9 +565,12 @@ def jaccard_classes(
     popular = sc.broadcast(bit_table(keyed, "key", BITS))
     heavy = keyed.filter(F.col("n") > DEAL).orderBy(F.desc("n"), "key").limit(HEAVY).collect()
     heavy = sc.broadcast({r.key: (-(-r.n // DEAL), r.first) for r in heavy})
+    scratch.drop(keyed)
+    release(spark)
     early = scratch.keep(_early_links(texts, k, reps, popular, heavy, parts), "early")
-    roots = components(scratch, early)
-    roots = scratch.keep(roots, "roots")
+    release(spark)
+    roots = scratch.keep(components(scratch, early), "roots")
+    scratch.drop(early)
     classed = sets.select("sid", "hid", "n").join(roots, F.col("sid") == F.col("node"), "left").select("sid", "hid", "n", F.coalesce("root", "sid").alias("root"))
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("__m")).withColumnRenamed("root", "__r")
     groups = scratch.keep(
@@ -588,18 +592,24 @@ def jaccard_classes(
         .filter(F.col("n") >= F.col("least"))
         .select("ra", "pa", "rb", "pb", F.xxhash64("ra", "pa", "rb", "pb").alias("pair"), (F.col("n") / F.col("size")).alias("score"))
     )
+    release(spark)
     pairs = scratch.keep(pairs, "pairs")
+    release(spark)
     sides = _sides(pairs, "pair", "score")
     opened = groups.join(sides.select("r", "p").distinct(), (F.col("root") == F.col("r")) & (F.col("part") == F.col("p")), "left_semi")
     opened = scratch.keep(opened.select("sid", "hid", "root", "part"), "opened")
     wanted = sc.broadcast(bit_table(opened, "hid", ID_BITS))
     full = _wanted_sets(texts, k, wanted).withColumnRenamed("sid", "__sid")
     full = scratch.keep(full.join(opened, F.col("__sid") == F.col("sid")).select("sid", "set", "root", "part"), "members")
+    release(spark)
     of = groups.select(F.col("sid").alias("__s"), F.col("root").alias("__r"))
     upper = _merge_classes(scratch, pairs, full, of, parts, at)
     final = scratch.keep(
         groups.join(upper.withColumnRenamed("root", "__top"), F.col("root") == F.col("node"), "left").select("sid", F.coalesce("__top", "root").alias("component")), "final"
     )
+    scratch.drop(full)
+    scratch.drop(pairs)
+    release(spark)
     named = sets.select(F.col("f1").alias("__f1"), F.col("f2").alias("__f2"), F.col("sid").alias("__sid")).join(final, F.col("__sid") == F.col("sid"))
     out = each.join(named, (F.col("f1") == F.col("__f1")) & (F.col("f2") == F.col("__f2")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
