@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vectide.llm import decontaminate, jaccard, mixing, tokenout
 from vectide.llm import toxicity as toxic
-from vectide.llm.common import Scratch, table
+from vectide.llm.common import Scratch, bit_table, marked, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -47,11 +47,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     named = keyed.filter("doc_id is not null").groupBy("__row").agg(F.min("doc_id").alias("__id"))
     first = classes.join(named, F.col("doc_id") == F.col("__row")).groupBy("component_id").agg(F.min(F.struct("__id", "__row", "__n")).alias("x"))
     first = scratch.keep(first.select(F.col("x.__row").alias("__kept"), F.col("x.__n").alias("__n")), "first")
-    once = keyed.join(first.filter("__n = 1"), F.col("__row") == F.col("__kept"), "left_semi").select(*COLUMNS)
-    again = keyed.join(first.filter("__n > 1"), F.col("__row") == F.col("__kept"), "left_semi")
+    # rows that surely stay are not shuffled: only those that share a bit with one that goes or repeats are joined
+    doubtful = classes.select("doc_id").join(first.filter("__n = 1"), F.col("doc_id") == F.col("__kept"), "left_anti")
+    bits = bit_table(doubtful.select(F.xxhash64("doc_id").alias("h")), "h", jaccard.ID_BITS)
+    # a row without an id has no bit: it stays
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64(keyed["__row"].cast("long")))
+    sure = marked(keyed, key, bits, jaccard.ID_BITS, False).select(*COLUMNS)
+    rest = marked(keyed, key, bits, jaccard.ID_BITS, True)
+    first = first.hint("merge")  # however small, so that the shuffle grows with the input
+    once = rest.join(first.filter("__n = 1"), F.col("__row") == F.col("__kept"), "left_semi").select(*COLUMNS)
+    again = rest.join(first.filter("__n > 1"), F.col("__row") == F.col("__kept"), "left_semi")
     # repeats may differ in other columns: the least of them stays, so that each run keeps the same one
     again = again.groupBy("__row").agg(F.min(F.struct(*COLUMNS)).alias("x")).select("x.*")
-    return once.unionByName(again).unionByName(keyed.filter("doc_id is null").select(*COLUMNS))
+    return sure.unionByName(once).unionByName(again)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,8 +80,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards in training order, and a row per piece of a document in them."""
-    return tokenout.query(spark, sf_dir, docs)
+    """Token shards in training order, and a row per piece of a document in them.
+
+    Sequences are permuted inside each shard's run of them, so that the order of the mix holds from shard to shard.
+    """
+    return tokenout.shards(docs, window=tokenout.SHARD_SEQS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
