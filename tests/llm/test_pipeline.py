@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from tests.llm.test_jaccard import brute
 from vectide.llm import decontaminate, jaccard, toxicity
@@ -58,3 +61,37 @@ def test_repeated_ids_lose_no_other_text(spark):
         got = sorted(((r.doc_id, r.text, r.lang) for r in P.near_duplicates(spark, d, SF).collect()), key=str)
         kept = [(1, same, "en"), (3, third, "en"), (5, other, "de"), (None, "one", "en"), (None, "two", "en"), (None, "two", "en"), (None, None, None)]
         assert got == sorted(kept, key=str)
+
+
+KIND = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize("name", [n for n, _ in P.STAGES[:-1]])
+def test_stages_keep_odd_rows(spark, name):
+    """Nulls anywhere, empty and long texts, ties and columns that operators use themselves."""
+    stage = dict(P.STAGES)[name]
+    rows = [(1, None, "en", "s", 0), (2, "", "en", None, None), (None, None, None, None, None), (3, "plain " * 250000, None, "s", 5), (4, "calm words about the sea and rain", "en", "t", None)]
+    docs = spark.createDataFrame(rows, KIND).withColumns({c: F.lit("own") for c in ("score", "component_id", "items", "position", "slot")})
+    got = stage(spark, docs, SF)
+    assert got.columns == list(P.COLUMNS)
+    assert sorted(map(str, got.collect())) == sorted(str(r) for r in spark.createDataFrame(rows, KIND).collect())
+    assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_last_stage_takes_odd_rows(spark):
+    docs = spark.createDataFrame([(1, None, "en", "s", 0), (None, "", None, None, None), (1, None, "en", "s", 0)], KIND)
+    got = P.shards(spark, docs, SF).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "1", "None"] and {r.n_tokens for r in got} == {1}
+    assert P.shards(spark, docs.limit(0), SF).count() == 0
+
+
+def test_order_of_the_mix_is_that_of_the_shards(spark, tmp_path, monkeypatch):
+    """Each source has less than a block more or less than its weight in every run of sequences."""
+    monkeypatch.setattr(P.tokenout, "SHARD_SEQS", 4)
+    rows = [(i, "word " * 300, "en", "big" if i % 4 else "small", 1500) for i in range(400)]
+    docs = spark.createDataFrame(rows, KIND)
+    order = [r.doc_id for r in P.mixing.mix(docs).orderBy("position").collect()]
+    P.mixture(spark, docs, SF).write.parquet(f"{tmp_path}/mixed")
+    got = P.shards(spark, spark.read.parquet(f"{tmp_path}/mixed"), SF).collect()
+    assert list(dict.fromkeys(r.doc_id for r in sorted(got, key=lambda r: (r.seq, r["at"])))) == order
+    assert max(abs(r.slot - r.seq) for r in got) < 4 and len({r.seq for r in got}) > 20
