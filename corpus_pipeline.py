@@ -1,4 +1,9 @@
-"""From documents to training shards, stage by stage; each stage reads what the one before it wrote."""
+"""From documents to training shards, stage by stage; each stage reads what the one before it wrote.
+
+All stages but the last return the columns of documents (COLUMNS) and leave out any others. Rows with nulls in any
+column, with empty or very long texts and repeated rows go through like others; what each stage does with them is in
+its docstring. An empty table gives an empty table of the same columns.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +20,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go."""
+    """Documents that the toxicity classifier rejects go. A null or empty text holds no toxic word and stays; repeated rows
+    are judged alike; the null in any other column is not looked at."""
     return toxic.keep_clean(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
@@ -63,12 +69,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Null and empty texts hold none and stay; repeated rows are judged alike."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the mixing schedule."""
+    """All documents, written in the order of the mixing schedule.
+
+    A null source is a source of its own. Rows of one id, and rows without an id, come together, at the first place
+    that the schedule gives to one of them. Texts are not looked at.
+    """
     scratch = Scratch(spark, "mixture")
     order = scratch.keep(mixing.mix(docs, scratch=scratch).groupBy("doc_id").agg(F.min("position").alias("__at")), "order")
     rows = order.agg(F.coalesce(F.max("__at"), F.lit(0))).first()[0] + 1
@@ -82,7 +92,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards in training order, and a row per piece of a document in them.
 
-    Sequences are permuted inside each shard's run of them, so that the order of the mix holds from shard to shard.
+    Sequences are permuted inside each shard's run of them, so that the order of the mix holds from shard to shard. A
+    null or empty text is the end of a document alone; null ids and repeated rows are rows like any other.
     """
     return tokenout.shards(docs, window=tokenout.SHARD_SEQS)
 
