@@ -22,9 +22,8 @@ def brute(text, items, window=D.WINDOW, agree=D.AGREE):
     out = []
     for one, item in items:
         n = min(window, len(item))
-        if n < 8:
-            continue
-        if any(sum(a == b for a, b in zip(item[i : i + n], w[j : j + n], strict=False)) >= agree * n for i in range(len(item) - n + 1) for j in range(len(w) - n + 1)):
+        agree = 1.0 if n < D.SHORT else D.AGREE
+        if n and any(sum(a == b for a, b in zip(item[i : i + n], w[j : j + n], strict=False)) >= agree * n for i in range(len(item) - n + 1) for j in range(len(w) - n + 1)):
             out.append(one)
     return out
 
@@ -75,11 +74,16 @@ def test_seeds_miss_no_choice_of_substitutions():
 
 def test_blocks_give_the_same_items(spark):
     rows = docs()
-    whole = {r.doc_id: r["items"] for r in found(spark, rows, ITEMS).collect()}
-    split: dict = {}
-    for r in found(spark, rows, ITEMS, block_words=50).collect():
-        split.setdefault(r.doc_id, []).extend(r["items"])
-    assert {k: sorted(v) for k, v in split.items()} == whole
+    rows += rows[:3]
+    whole = sorted(found(spark, rows, ITEMS).collect(), key=str)
+    assert sorted(found(spark, rows, ITEMS, block_words=50).collect(), key=str) == whole and len(whole) == len(rows)
+
+
+def test_short_items_are_found_whole(spark):
+    items = [(i, [f"s{i}x{j}" for j in range(i)]) for i in range(1, 8)] + [(11, ["s3x0", "s3x1", "s3x2"]), (12, ["s4x0", "s4x1", "s4x2", "no"])]
+    rows = [(i, f"before {' '.join(t)}, after" + " word" * 30 * i, "", "") for i, t in items[:7]] + [(20, "s3x0 s3x1 other s3x2 s5x0 s5x1 s5x2 s5x3", "", "")]
+    got = {r.doc_id: (r["items"], r.n_words) for r in found(spark, rows, items).collect()}
+    assert got == {i: ([i, 11], 6) if i == 3 else ([i], i) for i in range(1, 8)} | {20: ([], 0)}
 
 
 def test_clean_keeps_columns_and_clean_rows(spark):

@@ -14,8 +14,8 @@ from .words import U, hashed, mixed
 #: The words of a window that count (1) or are ignored (0) in each seed. Wherever a fifth of the words of
 #: a window of 8 to 24 words is replaced, one of the seeds still fits between them (the tests try every choice).
 MASKS = ("1101111", "11110101", "11110011", "10011111", "1101010011", "1110000111", "110011011")
-#: Words of a verified window, and the share of them that must agree.
-WINDOW, AGREE = 24, 0.8
+#: Words of a verified window, and the share of them that must agree; words below which an item is looked up whole.
+WINDOW, AGREE, SHORT = 24, 0.8, 8
 #: Words of the benchmark that are held at once. A larger benchmark is searched in blocks of this size.
 BLOCK_WORDS = 1 << 20
 
@@ -54,6 +54,23 @@ class Index:
             seen = np.zeros(1 << self.BITS, bool)
             seen[h >> U(64 - self.BITS)] = True
             self.tables.append((seen, h[order], at[order]))
+        # items too short for the seeds are looked up whole
+        size = np.diff(self.bounds)
+        self.short = []
+        for n in np.unique(size[(size > 0) & (size < SHORT)]).tolist():
+            items = np.flatnonzero(size == n)
+            h = np.array([seeds(self.words[self.bounds[i] : self.bounds[i + 1]], np.array([0, n]), "1" * n)[0][0] for i in items], U)
+            order = np.argsort(h, kind="stable")
+            self.short.append((n, h[order], items[order]))
+
+    def _whole(self, words: np.ndarray, bounds: np.ndarray, doc: np.ndarray, cover: dict) -> None:
+        """Add the places where short items stand word for word."""
+        for n, keys, items in self.short:
+            h, at = seeds(words, bounds, "1" * n)
+            low, high = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
+            for i in np.flatnonzero(high > low).tolist():
+                for item in items[low[i] : high[i]].tolist():
+                    cover.setdefault((int(doc[at[i]]), item), []).append(at[i] + np.arange(n))
 
     def found(self, words: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], int]:
         """(text, item) -> words of the text that lie in verified windows."""
@@ -69,9 +86,8 @@ class Index:
             if n.sum():
                 which = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
                 diagonals.append(np.stack((np.repeat(at, n), places[which]), 1))
-        if not diagonals:
-            return {}
-        pairs = np.concatenate(diagonals)
+        self._whole(words, bounds, doc, cover)
+        pairs = np.concatenate(diagonals) if diagonals else np.zeros((0, 2), np.int64)
         # one check for each text, item and diagonal; an item is compared over its whole length there
         keys = np.stack((doc[pairs[:, 0]], self.item[pairs[:, 1]], pairs[:, 0] - pairs[:, 1]), 1)
         for d, item, shift in np.unique(keys, axis=0).tolist():
@@ -115,14 +131,15 @@ def contamination(
     agree: float = AGREE,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """One row per input row and block of the benchmark: id, items (found item ids, ascending), n_words covered.
+    """One row per input row: id, items (ids of the items found, ascending), n_words (words covered, added up by item).
 
     Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. An item is found in a text if some window
     of ``window`` words of the item (the whole item, if shorter) stands in the text with at least ``agree`` of its
     words at their places; other words may be substituted. Seeds start the search; for items of 8 words and more they
-    miss no such window of 24 words or less. Shorter items are found where a seed fits, 7 equal words at least of 7;
-    items of fewer words than the shortest mask are not searched for. Null and empty texts and items hold nothing; null ids and repeated rows stay as they
-    are; an empty benchmark finds nothing; an empty table gives no rows.
+    miss no such window of 24 words or less. Shorter items are found where they stand word for word (of 7 words, also
+    where a seed fits). Items of equal text are found together. Null and empty texts and items hold nothing; very long
+    texts are searched like others; null ids and repeated rows stay as they are; other columns are ignored; an empty
+    benchmark finds nothing; an empty table gives no rows.
 
     The benchmark is the query set, held in blocks of bounded size; the corpus is scanned once for each block and is
     never shuffled.
@@ -131,16 +148,14 @@ def contamination(
     small_batches(spark)
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    out = None
-    blocks = _blocks(benchmark, item_col, "text", block_words)
-    for block in blocks:
-        out = _scan(texts, kind, block, window, agree) if out is None else out.unionByName(_scan(texts, kind, block, window, agree))
-    if out is None:
-        out = texts.select("__id", F.array().cast("array<long>").alias("items"), F.lit(0).cast("long").alias("n_words"))
-    return out.withColumnRenamed("__id", id_col)
+    out = texts.select("__id", "text", F.array().cast("array<long>").alias("items"), F.lit(0).cast("long").alias("n_words"))
+    for block in _blocks(benchmark, item_col, "text", block_words):
+        out = _scan(out, kind, block, window, agree)
+    return out.select(F.col("__id").alias(id_col), "items", "n_words")
 
 
 def _scan(texts: DataFrame, kind: str, block: list, window: int, agree: float) -> DataFrame:
+    """Add the items of a block to what earlier blocks found."""
     shared = texts.sparkSession.sparkContext.broadcast(block)
 
     def search(batches):
@@ -158,13 +173,15 @@ def _scan(texts: DataFrame, kind: str, block: list, window: int, agree: float) -
                     found.setdefault(d, []).append((index.ids[item], covered))
                 for d in range(len(raw[part])):
                     hits = found.get(d, [])
-                    ids.append(sorted({i for i, _ in hits if i is not None}))
+                    ids.append({i for i, _ in hits if i is not None})
                     n.append(sum(c for _, c in hits))
+            ids = [sorted(x.union(before)) for x, before in zip(ids, b.column(2).to_pylist(), strict=True)]
+            n = [x + before for x, before in zip(n, b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ids, pa.list_(pa.int64())), pa.array(n, pa.int64())], ["__id", "items", "n_words"]
+                [b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int64())), pa.array(n, pa.int64())], ["__id", "text", "items", "n_words"]
             )
 
-    return texts.mapInArrow(search, f"__id {kind}, items array<long>, n_words long")
+    return texts.mapInArrow(search, f"__id {kind}, text string, items array<long>, n_words long")
 
 
 def _parts(raw: list[bytes]):
