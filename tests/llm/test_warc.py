@@ -93,3 +93,23 @@ def test_query_equals_sha1(spark):
     got = W.query(spark, "/root/testdata/sf0.001").collect()
     pages = {r.page_id: r.html or "" for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
     assert {r.page_id: (r.payload_bytes, r.payload_digest) for r in got} == {k: (len(v.encode()), W.digest(v.encode())) for k, v in pages.items()}
+
+
+def test_query_equals_brute_force_records(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    first = {}
+    for r in rows:
+        first[r.html or ""] = min(r.page_id, first.get(r.html or "", r.page_id))
+    want = {r.page_id: ("response", None) if first[r.html or ""] == r.page_id else ("revisit", first[r.html or ""]) for r in rows}
+    assert {r.page_id: (r.record_type, r.refers_to) for r in W.query(spark, "/root/testdata/sf0.01").collect()} == want
+
+
+def test_payloads_of_several_steps():
+    import random
+
+    big = random.Random(3).randbytes(3 * W.STEP + 17)  # hardly compressible, so it is read and inflated in several steps
+    parts = [W.record(1, "u", big, None, False), W.record(2, "u", b"a" * 5 * W.STEP, None, False), W.record(3, "u", b"", None, False)]
+    a, x = io.BytesIO(), io.BytesIO()
+    assert W.normalise(io.BytesIO(gzip.compress(b"".join(parts))), a, x)[0] == 3
+    lines = [json.loads(line) for line in x.getvalue().splitlines()]
+    assert [gzip.decompress(a.getvalue()[v["offset"] : v["offset"] + v["length"]]) for v in lines] == parts

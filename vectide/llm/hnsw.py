@@ -109,7 +109,6 @@ class Graph:
             sims = np.where(back, np.float32(-2), sims)
         v = self.unit[np.maximum(ids, 0)]
         between = v @ v.transpose(0, 2, 1)
-        rows = np.arange(len(ids))
         worst = np.full(ids.shape, -2, np.float32)  # nearest chosen one to each candidate
         chosen = np.zeros(ids.shape, bool)
         for i in range(keep):
@@ -119,7 +118,6 @@ class Graph:
         rank = np.where(chosen, 0, np.where(sims > -1.5, 1, 2)) * keep + np.arange(keep)[None, :]
         pick = np.argsort(rank, axis=1)[:, :width]
         out = np.where(np.take_along_axis(sims, pick, 1) > -1.5, np.take_along_axis(ids, pick, 1), -1).astype(np.int32)
-        del rows
         if out.shape[1] < width:
             out = np.concatenate((out, np.full((len(out), width - out.shape[1]), -1, np.int32)), 1)
         return out
@@ -337,8 +335,8 @@ def near_duplicates(
     graph, written to the shared folder with a beam that passed a recall audit of real links, of its own nodes and of
     other shards', against brute force; every node is asked of every shard. A task returns counts and a spanning forest of its links, never all pairs.
 
-    Ids are integers. A row with a null id has n_links, a null component_id and is not kept, and passes on no links;
-    rows of one id count as equal rows of one node if their vectors are equal, else the id has a row each and one
+    Ids are integers. A row with a null id links like any other and passes its links on, but has a null component_id
+    and is not kept; rows of one id count as equal rows of one node if their vectors are equal, else the id has a row each and one
     component. Other columns are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
