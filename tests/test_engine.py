@@ -106,6 +106,18 @@ def test_index_goes_stale(engine):
     assert all(i[0] != "s" for i in engine.indexes())
 
 
+def test_streams_are_written_in_parts(engine, monkeypatch):
+    from vectide.sources import arrow_stream
+
+    monkeypatch.setattr(arrow_stream, "STREAM_BYTES", 20000)
+    engine.make_table("stream", arrow(clusters(5, 900)).to_reader(100))
+    got = engine.read_table("stream", ordered=True).toArrow()
+    assert got.column("id").to_pylist() == list(range(900)) and np.array_equal(np.array(got.column("vector").to_pylist(), np.float32), clusters(5, 900))
+    empty = arrow(clusters(5, 0)).to_reader()
+    assert engine.make_table("stream", empty).read_table("stream").count() == 0
+    engine.drop_table("stream")
+
+
 def test_tables_do_not_lie_in_tables(engine):
     engine.make_table("up/down", engine.spark.range(2))
     for name in ("up", "up/down/more"):

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from .operators.coder import CoderConfig, train
 from .operators.rows import ROW_ID
 from .plans import search as plan
-from .sources.arrow_stream import to_frame
+from .sources.arrow_stream import to_frame, to_frames
 from .sources.catalog import Catalog, names_of
 
 _DEFAULTS = {"metric": "l2"}
@@ -23,8 +24,11 @@ class Engine:
         self.catalog = Catalog(spark, root)
 
     def make_table(self, name: str, data) -> "Engine":
-        """Create or replace a table from a frame, an Arrow table or a record batch reader."""
-        self.catalog.make_table(name, data if isinstance(data, DataFrame) else to_frame(self.spark, data))
+        """Create or replace a table from a frame, an Arrow table or a record batch reader (written as it is read)."""
+        if isinstance(data, pa.RecordBatchReader):
+            self.catalog.make_table_of(name, to_frames(self.spark, data))
+        else:
+            self.catalog.make_table(name, data if isinstance(data, DataFrame) else to_frame(self.spark, data))
         return self
 
     def read_table(

@@ -142,4 +142,24 @@ def to_frame(spark, table: pa.Table | pa.RecordBatchReader):
     """A frame from Arrow data of any types that Spark can hold, in its order."""
     if isinstance(table, pa.RecordBatchReader):
         table = table.read_all()
-    return spark.createDataFrame(table.cast(spark_schema(table.schema)))
+    table = table.cast(spark_schema(table.schema))
+    if not table.num_rows:  # without a chunk the columns have no type
+        table = pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array([], f.type) for f in table.schema], schema=table.schema)])
+    return spark.createDataFrame(table)
+
+
+#: Bytes of a stream that the driver holds at once.
+STREAM_BYTES = 64 << 20
+
+
+def to_frames(spark, stream: pa.RecordBatchReader, most: int = 0):
+    """Frames of a stream's batches, in order, each of about ``most`` bytes (STREAM_BYTES), so that no more is held."""
+    held, total, none = [], 0, True
+    for batch in stream:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= (most or STREAM_BYTES):
+            yield to_frame(spark, pa.Table.from_batches(held))
+            held, total, none = [], 0, False
+    if held or none:
+        yield to_frame(spark, pa.Table.from_batches(held, stream.schema))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -54,19 +54,30 @@ class Catalog:
     def make_table(self, name: str, df: DataFrame) -> DataFrame:
         """Create or replace a table. Row order is kept by a hidden ordinal. The version before stays until the next
         one comes, so that frames which were planned on it can still run."""
+        return self.make_table_of(name, iter([df]))
+
+    def make_table_of(self, name: str, frames: Iterator[DataFrame]) -> DataFrame:
+        """make_table() from the rows of frames of one schema, one after the other; each is written before the next is
+        asked for."""
         at = f"sources/{checked(name)}"
         if any(self.store.exists(f"sources/{'/'.join(name.split('/')[:i])}/{META}") for i in range(1, name.count("/") + 1)):
             raise ValueError(f"{name!r} lies inside another table")
         if not self.store.exists(f"{at}/{META}") and next(self.store.walk(at, META), None):
             raise ValueError(f"{name!r} holds other tables")
-        hidden = [c for c in df.columns if c in (ROW_ID, CODE, CELL)]
-        if hidden:
-            raise ValueError(f"reserved column names: {hidden}")
         old = self.store.read_json(f"{at}/{META}") if self.store.exists(f"{at}/{META}") else None
-        version = uuid.uuid4().hex
-        with_row_id(df).write.parquet(self.store.full(f"{at}/v-{version}"))
-        dims = self._dims(f"{at}/v-{version}", df.schema)
-        self.store.write_json(f"{at}/{META}", {"version": version, "schema": df.schema.jsonValue(), "dims": dims})
+        version, schema, rows = uuid.uuid4().hex, None, 0
+        for df in frames:
+            hidden = [c for c in df.columns if c in (ROW_ID, CODE, CELL)]
+            if hidden:
+                raise ValueError(f"reserved column names: {hidden}")
+            numbered = with_row_id(df)
+            if schema is not None:
+                rows = self.spark.read.parquet(self.store.full(f"{at}/v-{version}")).count()  # from the files' footers
+                numbered = numbered.withColumn(ROW_ID, F.col(ROW_ID) + rows)
+            numbered.write.mode("append").parquet(self.store.full(f"{at}/v-{version}"))
+            schema = schema or df.schema
+        dims = self._dims(f"{at}/v-{version}", schema)
+        self.store.write_json(f"{at}/{META}", {"version": version, "schema": schema.jsonValue(), "dims": dims})
         self._keep(at, version, old and old["version"])
         return self.table(name)
 
