@@ -117,3 +117,67 @@ def test_prefixes_share_a_token():
             pa, pb = (set(s[: int(J.prefix_length(np.int64(len(s))))]) for s in (a, b))
             need = -(-3 * (len(a) + len(b)) // 7) - max(-(-3 * len(a) // 4), -(-3 * len(b) // 4)) + 1
             assert len(pa & pb) >= max(1, need)
+
+
+class _Direct:
+    """In place of a frame: gives back the function that its tasks would run."""
+
+    def repartitionById(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def _range(groups, n_ranges=1):
+    """The rows of the matrix of groups (class, part, size, tokens)."""
+    import numpy as np
+    import pyarrow as pa
+
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+    rows = [(r, p, n, np.sort(np.array(t, np.uint64)).tobytes()) for r, p, n, t in groups]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["root", "part", "n", "prefix"])
+    return list(J._matrix(_Direct(), n_ranges)(iter([batch])))
+
+
+def test_a_token_of_many_groups_takes_bounded_memory():
+    """6000 groups share a token: their 18 million pairs are counted piece by piece."""
+    import tracemalloc
+
+    rows = _range([(i, 0, 4, [7, 1000 + i]) for i in range(6000)])
+    tracemalloc.start()
+    n = sum(b.num_rows for b in J._shared(_Direct(), 1, 75)(iter(rows)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 6000 * 5999 // 2
+    assert peak < 200e6
+
+
+@pytest.mark.parametrize("pairs", [1, 40, 1 << 20])
+def test_pieces_count_all_that_groups_share(monkeypatch, pairs):
+    import pyarrow.compute as pc
+
+    monkeypatch.setattr(J, "PAIRS", pairs)
+    monkeypatch.setattr(J, "DENSE", 1 << 30)  # no range rules out a pair
+    r = random.Random(5)
+    groups = [(r.randrange(-30, 30), part, 40, {r.randrange(60) * 0x9E3779B97F4A7C1 % 2**64 for _ in range(10)}) for part in range(80)]
+    groups.sort(key=lambda g: g[:2])
+    got = {}
+    for k in range(3):
+        for b in _range([(*g[:3], list(g[3])) for g in groups], 3):
+            own = b.filter(pc.equal(b.column(0), k))
+            for x in (row for out in J._shared(_Direct(), 3, 75)(iter([own])) for row in out.to_pylist()):
+                key = (x["ra"], x["pa"], x["rb"], x["pb"])
+                got[key] = got.get(key, 0) + x["n"]
+    want = {(*a[:2], *b[:2]): len(a[3] & b[3]) for a in groups for b in groups if a[0] < b[0] and a[3] & b[3]}
+    assert got == want
+
+
+def test_packed_groups_come_back():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    columns = [np.array([-(2**63), -5, 0, 2**63 - 1]), np.arange(4), np.array([1, 7, 30, 2**30]), np.array([1, 9, 30, 2**30 + 1]), np.array([1, 3, 9, 5]), np.zeros(4, np.int64), np.array([1, 2, 1, 3])]
+    tokens = r.integers(0, 2**63, 7).astype(np.uint64)
+    *back, low = J._unpacked(J._packed(columns, tokens))
+    assert all((x == y).all() for x, y in zip(back, columns, strict=True)) and (low == (tokens & np.uint64(0xFFFFFFFF))).all()

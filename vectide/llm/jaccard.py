@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections import deque
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,8 @@ HEAVY, DEAL = 4096, 256
 #: Prefix tokens of one token range, tokens of a group there from which on the range bounds the group's pairs, and the
 #: quarters of its part that a pair has to reach there.
 RANGE_TOKENS, DENSE, QUARTERS = 1 << 20, 3, 2
+#: Pairs of groups that a task counts at a time.
+PAIRS = 1 << 20
 BYTES = 1 << 20
 
 
@@ -282,7 +285,39 @@ def _prefixes(texts, k, reps, often):
     return texts.mapInArrow(emit, "sid long, prefix binary")
 
 
-MATRIX = "range int, root array<long>, part array<int>, low array<long>, high array<long>, size array<long>, dense array<long>, held array<int>, tokens binary"
+MATRIX = "range int, packed binary"
+#: Numbers of a group in the matrix: its class and part, sizes of its members from low to high, its tokens, those of
+#: them in dense ranges, and those in this range.
+COLUMNS = ("root", "part", "low", "high", "size", "dense", "held")
+
+
+def _packed(columns: list[np.ndarray], tokens: np.ndarray) -> bytes:
+    """Groups, a column after the other, and their tokens, compressed.
+
+    Of a token its lower half is kept, as the range follows from the upper one. Two that agree by chance add to what
+    groups seem to share, so they can only open a pair in vain.
+    """
+    root, _, low, high, size, *_ = columns
+    deltas = [np.diff(root, prepend=np.int64(0)), columns[1], low, high - low, size - prefix_length(low), *columns[5:]]
+    with_tokens = [*(d.astype("<i8" if i == 0 else "<i4") for i, d in enumerate(deltas)), (tokens & U(0xFFFFFFFF)).astype("<u4")]
+    # bytes of one rank together: most of the upper ones are zero
+    raw = b"".join(x.view(np.uint8).reshape(len(x), -1).T.tobytes() for x in with_tokens)
+    return len(root).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _unpacked(packed: bytes) -> list[np.ndarray]:
+    """The columns of _packed(), and the tokens."""
+    n = int.from_bytes(packed[:4], "little")
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[4:]), np.uint8)
+    widths, out, at = [8] + [4] * (len(COLUMNS) - 1), [], 0
+    for width in widths:
+        out.append(np.ascontiguousarray(raw[at : at + width * n].reshape(width, n).T).view(f"<i{width}").ravel())
+        at += width * n
+    out.append(np.ascontiguousarray(raw[at:].reshape(4, -1).T).view("<u4").ravel())
+    out[0] = np.cumsum(out[0])
+    out[3] = out[3] + out[2]
+    out[4] = (out[4] + prefix_length(out[2].astype(np.int64))).astype(np.int32)
+    return out
 
 
 def _matrix(rows: DataFrame, n_ranges: int) -> DataFrame:
@@ -294,10 +329,7 @@ def _matrix(rows: DataFrame, n_ranges: int) -> DataFrame:
     def make(batches):
         import pyarrow as pa
 
-        schema = [
-            ("range", pa.int32()), ("root", pa.list_(pa.int64())), ("part", pa.list_(pa.int32())), ("low", pa.list_(pa.int64())),
-            ("high", pa.list_(pa.int64())), ("size", pa.list_(pa.int64())), ("dense", pa.list_(pa.int64())), ("held", pa.list_(pa.int32())), ("tokens", pa.binary()),
-        ]
+        schema = [("range", pa.int32()), ("packed", pa.binary())]
 
         def flush(groups):
             tokens = np.concatenate([g[4] for g in groups])
@@ -310,11 +342,11 @@ def _matrix(rows: DataFrame, n_ranges: int) -> DataFrame:
             own, held = which[start], np.diff(np.concatenate((start, [len(which)])))
             dense = np.bincount(own, np.where(held >= DENSE, held, 0), len(groups)).astype(np.int64)
             rows = np.searchsorted(start, cuts)
+            known = [np.array([g[c] for g in groups], np.int64) for c in range(4)] + [np.array([len(g[4]) for g in groups], np.int64), dense]
             for r in range(n_ranges):
                 i, j = rows[r], rows[r + 1]
                 if i < j:
-                    g = [groups[x] for x in own[i:j]]
-                    yield r, *([x[c] for x in g] for c in range(4)), [len(x[4]) for x in g], dense[own[i:j]], held[i:j], tokens[cuts[r] : cuts[r + 1]].tobytes()
+                    yield r, _packed([*(c[own[i:j]] for c in known), held[i:j]], tokens[cuts[r] : cuts[r + 1]])
 
         def out():
             groups, total, now, members = [], 0, None, []
@@ -340,7 +372,7 @@ def _matrix(rows: DataFrame, n_ranges: int) -> DataFrame:
             if groups:
                 yield from flush(groups)
 
-        yield from _batched(out(), schema, lambda r: len(r[8]) + 44 * len(r[1]))
+        yield from _batched(out(), schema, lambda r: len(r[1]))
 
     return rows.mapInArrow(make, MATRIX)
 
@@ -362,68 +394,69 @@ def _shared(matrix: DataFrame, n_ranges: int, at: int) -> DataFrame:
     def count(batches):
         import pyarrow as pa
 
-        cols = [[] for _ in range(8)]
-        for b in batches:
-            for row in b.to_pylist():
-                cols[0].append(np.array(row["root"], np.int64))
-                cols[1].append(np.array(row["part"], np.int64))
-                cols[2].append(np.array(row["low"], np.int64))
-                cols[3].append(np.array(row["high"], np.int64))
-                cols[4].append(np.array(row["size"], np.int64))
-                cols[5].append(np.array(row["dense"], np.int64))
-                cols[6].append(np.array(row["held"], np.int64))
-                cols[7].append(np.frombuffer(row["tokens"], U))
-        if not cols[0]:
+        got = [_unpacked(x) for b in batches for x in b.column(1).to_pylist()]
+        if not got:
             return
-        root, part, low, high, whole, dense, held, tokens = (np.concatenate(c) for c in cols)
-        which = np.repeat(np.arange(len(root)), held)
-        order = np.lexsort((which, tokens))
-        tokens, which = tokens[order], which[order]
-        start = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-        size = np.diff(np.concatenate((start, [len(tokens)])))
-        parts: list = []
-
-        def add(a, b):
-            good = (root[a] != root[b]) & (100 * high[a] >= at * low[b]) & (100 * high[b] >= at * low[a])
-            a, b = a[good], b[good]
-            swap = (root[a] > root[b]) | ((root[a] == root[b]) & (part[a] > part[b]))
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            if len(a):
-                parts.append(np.unique(a * len(root) + b, return_counts=True))
-
-        for n in np.unique(size[size > 1]).tolist():
-            runs = start[size == n]
-            if n <= 512:
-                i, j = np.triu_indices(n, 1)
-                step = max(1, (1 << 21) // len(i))
-                for at_run in range(0, len(runs), step):
-                    at_ = which[runs[at_run : at_run + step][:, None] + np.arange(n)]
-                    add(at_[:, i].ravel(), at_[:, j].ravel())
-            else:
-                for s in runs.tolist():
-                    members = which[s : s + n]
-                    if (root[members] == root[members[0]]).all():
-                        continue
-                    for i in range(n - 1):
-                        add(np.full(n - 1 - i, members[i]), members[i + 1 :])
-            if len(parts) > 64:
-                parts = [_merged(parts)]
-        if parts:
-            pairs, counts = _merged(parts)
-            a, b = pairs // len(root), pairs % len(root)
-            less = np.where((whole[a] < whole[b]) | ((whole[a] == whole[b]) & (dense[a] <= dense[b])), a, b)
-            need = needed(low[a], high[a], low[b], high[b], at)
-            due = np.where(held[less] >= DENSE, -(-need * held[less] * QUARTERS // (4 * whole[less])), 1)
-            least = np.maximum(1, -(-need * (4 * whole[less] - QUARTERS * dense[less]) // (4 * whole[less])))
-            enough = counts >= due
-            a, b, n, least = a[enough], b[enough], (counts - due + 1)[enough], least[enough]
-            names = [x.split(" ")[0] for x in SHARED.split(", ")]
-            for i in range(0, len(a), 65536):
-                x, y, own = a[i : i + 65536], b[i : i + 65536], slice(i, i + 65536)
+        root, part, low, high, whole, dense, held, tokens = (np.concatenate(c) for c in zip(*got, strict=True))
+        del got
+        rank = np.empty(len(root), U)
+        order = np.lexsort((part, root))
+        rank[order] = np.arange(len(root), dtype=U)
+        runs = tokens.astype(U) << U(32)
+        runs |= np.repeat(rank, held)
+        root, part, low, high, whole, dense, held = (x[order] for x in (root, part, low, high, whole, dense, held))
+        del tokens, rank, order
+        runs.sort()  # by token, there by class
+        which = (runs & U(0xFFFFFFFF)).astype(np.int32)
+        runs >>= U(32)
+        new = np.concatenate(([True], runs[1:] != runs[:-1]))
+        del runs
+        start = np.flatnonzero(new)
+        end = np.repeat(np.append(start[1:], len(new)).astype(np.int32), np.diff(start, append=len(new)))
+        new[1:] |= root[which[1:]] != root[which[:-1]]
+        start = np.flatnonzero(new)
+        del new
+        # each place in the list is paired with those of its token that are of a later class
+        after = np.repeat(np.append(start[1:], len(which)).astype(np.int32), np.diff(start, append=len(which)))
+        some = np.flatnonzero(after < end)
+        some = some[np.argsort(which[some], kind="stable")]
+        own, after, later = which[some], after[some], (end[some] - after[some]).astype(np.int64)
+        del end, some
+        load = np.concatenate(([0], np.cumsum(later)))
+        ends = np.append(np.flatnonzero(own[1:] != own[:-1]) + 1, len(own))
+
+        def paired(lo, hi):
+            n = later[lo:hi]
+            a = np.repeat(own[lo:hi], n)
+            b = which[np.repeat(after[lo:hi] - (load[lo:hi] - load[lo]), n) + np.arange(len(a))]
+            good = (100 * high[a].astype(np.int64) >= at * low[b].astype(np.int64)) & (100 * high[b].astype(np.int64) >= at * low[a].astype(np.int64))
+            return np.unique(a[good].astype(np.int64) * len(root) + b[good], return_counts=True)
+
+        names = [x.split(" ")[0] for x in SHARED.split(", ")]
+        lo = 0
+        while lo < len(own):  # all pairs of some groups, PAIRS at a time
+            hi = ends[max(np.searchsorted(ends, np.searchsorted(load, load[lo] + PAIRS, "right") - 1, "right") - 1, np.searchsorted(ends, lo, "right"))]
+            parts: list = []
+            while lo < hi:
+                step = min(hi, max(lo + 1, int(np.searchsorted(load, load[lo] + PAIRS, "right")) - 1))
+                parts.append(paired(lo, step))
+                if len(parts) > 1:
+                    parts = [_merged(parts)]
+                lo = step
+            pairs, counts = parts[0]
+            for i in range(0, len(pairs), 65536):
+                a, b, n = pairs[i : i + 65536] // len(root), pairs[i : i + 65536] % len(root), counts[i : i + 65536]
+                la, ha, lb, hb, wa, wb, da, db = (x.astype(np.int64) for x in (low[a], high[a], low[b], high[b], whole[a], whole[b], dense[a], dense[b]))
+                first = (wa < wb) | ((wa == wb) & (da <= db))
+                own_held, size, packed = np.where(first, held[a], held[b]).astype(np.int64), np.where(first, wa, wb), np.where(first, da, db)
+                need = needed(la, ha, lb, hb, at)
+                due = np.where(own_held >= DENSE, -(-need * own_held * QUARTERS // (4 * size)), 1)
+                least = np.maximum(1, -(-need * (4 * size - QUARTERS * packed) // (4 * size)))
+                x = n >= due
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(root[x]), pa.array(part[x].astype(np.int32)), pa.array(root[y]), pa.array(part[y].astype(np.int32)),
-                        pa.array(high[x] + high[y]), pa.array(n[own]), pa.array(least[own]),
+                        pa.array(root[a[x]]), pa.array(part[a[x]]), pa.array(root[b[x]]), pa.array(part[b[x]]),
+                        pa.array((ha + hb)[x]), pa.array((n - due + 1)[x]), pa.array(least[x]),
                     ],
                     names,
                 )
