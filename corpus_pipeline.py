@@ -9,14 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from vectide.llm import decontaminate, jaccard, mixing, tokenout
+from vectide.llm import decontaminate, files, jaccard, mixing, tokenout
 from vectide.llm import toxicity as toxic
-from vectide.llm.common import Scratch, bit_table, marked, table
+from vectide.llm.common import Scratch, bit_table, marked, small_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Rows of a file whose places in the mix are one file of their own.
+PLACES = 65536
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,6 +78,81 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
+def _addressed(docs: DataFrame, *columns: str) -> DataFrame | None:
+    """The columns and each row's file and number in it, of a table that is read from files as it is."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return None
+    try:
+        return docs.select(*columns, F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        return None
+
+
+def _placed(docs: DataFrame, order: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows with their place in the order (__id, __at). Of a table in files only ids are joined, texts are not shuffled:
+    the places of each PLACES rows of a file are a file of longs, which the task that reads these rows opens."""
+    keys, spark, folder = _addressed(docs, "doc_id"), docs.sparkSession, scratch.path("places")
+    if keys is None:
+        return docs.join(order, F.col("doc_id").eqNullSafe(F.col("__id")))
+    small_batches(spark)
+
+    def path(file: int, block: int) -> str:
+        return f"{folder}/{file & (2**64 - 1):016x}-{block:08d}.bin"
+
+    def write(batches):
+        import pyarrow as pa
+
+        now, held, n = None, [], 0
+
+        def close():
+            rows, places = (np.concatenate(x) for x in zip(*held, strict=True))
+            if (rows != now[1] * PLACES + np.arange(len(rows))).any():
+                raise ValueError("the rows of a file are not numbered one by one")
+            with files.writing(path(*now)) as f:
+                f.write(places.astype("<i8").tobytes())
+
+        for b in batches:
+            file, row, at = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            n += len(file)
+            cuts = np.flatnonzero((file[1:] != file[:-1]) | (row[1:] // PLACES != row[:-1] // PLACES)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(file)], strict=True):
+                if lo < hi:
+                    key = int(file[lo]), int(row[lo]) // PLACES
+                    if key != now and held:
+                        close()
+                        held = []
+                    now = key
+                    held.append((row[lo:hi], at[lo:hi]))
+        if held:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = keys.join(order, F.col("doc_id").eqNullSafe(F.col("__id"))).select("__file", "__row", "__at")
+    dealt = known.repartition(parts, "__file", F.expr(f"__row div {PLACES}")).sortWithinPartitions("__file", "__row")
+    dealt.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+    def read(batches):
+        import pyarrow as pa
+
+        now = places = None
+        for b in batches:
+            *_, file, row = (b.column(i).to_numpy(zero_copy_only=False) for i in (b.num_columns - 2, b.num_columns - 1))
+            at = np.empty(len(file), np.int64)
+            cuts = np.flatnonzero((file[1:] != file[:-1]) | (row[1:] // PLACES != row[:-1] // PLACES)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(file)], strict=True):
+                if lo < hi:
+                    key = int(file[lo]), int(row[lo]) // PLACES
+                    if key != now:
+                        with files.reading(path(*key)) as f:
+                            now, places = key, np.frombuffer(f.read(), "<i8")
+                    at[lo:hi] = places[row[lo:hi] % PLACES]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(at)], [*b.schema.names[:-2], "__at"])
+
+    rows = _addressed(docs, *COLUMNS)
+    return rows.mapInArrow(read, StructType([*rows.schema.fields[:-2], StructField("__at", LongType())]))
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the order of the mixing schedule.
 
@@ -83,7 +163,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     order = scratch.keep(mixing.mix(docs, scratch=scratch).groupBy("doc_id").agg(F.min("position").alias("__at")), "order")
     rows = order.agg(F.coalesce(F.max("__at"), F.lit(0))).first()[0] + 1
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = docs.join(order.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    placed = _placed(docs, order.withColumnRenamed("doc_id", "__id"), scratch)
     # positions are gapless, so equal ranges need no sampling pass
     ranges = F.expr(f"cast(__at * {parts} div {rows} as int)")
     return placed.repartitionById(parts, ranges).sortWithinPartitions("__at").select(*COLUMNS)

@@ -95,3 +95,23 @@ def test_order_of_the_mix_is_that_of_the_shards(spark, tmp_path, monkeypatch):
     got = P.shards(spark, spark.read.parquet(f"{tmp_path}/mixed"), SF).collect()
     assert list(dict.fromkeys(r.doc_id for r in sorted(got, key=lambda r: (r.seq, r["at"])))) == order
     assert max(abs(r.slot - r.seq) for r in got) < 4 and len({r.seq for r in got}) > 20
+
+
+def test_the_mix_shuffles_texts_once(spark, tmp_path, monkeypatch):
+    """A table in files is placed without a join of its texts, in the same order as any other."""
+    monkeypatch.setattr(P, "PLACES", 7)
+    rows = [(i % 90 if i % 11 else None, f"text {i}", "en", ("a", "b", None)[i % 3], i) for i in range(120)]
+    plain = spark.createDataFrame(rows, KIND)
+    plain.repartition(3).write.parquet(f"{tmp_path}/docs")
+    held = spark.read.parquet(f"{tmp_path}/docs")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = P.mixture(spark, held, SF)
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+        ids = [r.doc_id for r in got.collect()]
+        assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+        assert ids == [r.doc_id for r in P.mixture(spark, plain, SF).collect()]
+        assert P.mixture(spark, held.limit(0), SF).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
