@@ -152,3 +152,20 @@ def test_rare_pairs_are_found(spark):
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
     got = {x.vec_id: x.n_links for x in H.near_duplicates(df, shard_rows=1000).collect()}
     assert [got[i] for i in range(len(v))] == near.sum(1).tolist()
+
+
+def test_hits_that_no_link_leads_to():
+    """Of 200 pairs the second node is cut off from the graph; the query of the first finds it all the same, at the first beam."""
+    import numpy as np
+
+    from vectide.llm import hnsw
+
+    r = np.random.default_rng(7)
+    v = r.normal(size=(3000, 32))
+    v[200:400] = v[:200] + r.normal(size=(200, 32)) * 0.15
+    graph = hnsw.Graph(hnsw._unit(v))
+    for links in graph.links:
+        links[(links >= 200) & (links < 400)] = -1
+    a, b = graph.within(graph.unit[:200], 0.95, hnsw.BEAM, np.arange(200))
+    assert len({(x, y) for x, y in zip(a.tolist(), b.tolist()) if y == x + 200}) >= 195
+    assert len(set(zip(a.tolist(), b.tolist()))) == len(a)
