@@ -7,20 +7,18 @@ its docstring. An empty table gives an empty table of the same columns.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-import numpy as np
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from vectide.llm import decontaminate, files, jaccard, mixing, tokenout
+from vectide.llm import decontaminate, jaccard, mixing, tokenout
 from vectide.llm import toxicity as toxic
-from vectide.llm.common import Scratch, bit_table, marked, small_batches, table
+from vectide.llm.common import Scratch, bit_table, marked, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Rows of a file whose places in the mix are one file of their own.
+#: Sources, and further sources of single ids, up to which rows look up their place in the mix; beyond, places are joined to the texts.
 PLACES = 65536
 
 
@@ -78,79 +76,56 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
-def _addressed(docs: DataFrame, *columns: str) -> DataFrame | None:
-    """The columns and each row's file and number in it, of a table that is read from files as it is."""
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
-        return None
-    try:
-        return docs.select(*columns, F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    except AnalysisException:
-        return None
-
-
-def _placed(docs: DataFrame, order: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows with their place in the order (__id, __at). Of a table in files only ids are joined, texts are not shuffled:
-    the places of each PLACES rows of a file are a file of longs, which the task that reads these rows opens."""
-    keys, spark, folder = _addressed(docs, "doc_id"), docs.sparkSession, scratch.path("places")
-    if keys is None:
-        return docs.join(order, F.col("doc_id").eqNullSafe(F.col("__id")))
-    small_batches(spark)
-
-    def path(file: int, block: int) -> str:
-        return f"{folder}/{file & (2**64 - 1):016x}-{block:08d}.bin"
-
-    def write(batches):
-        import pyarrow as pa
-
-        now, held, n = None, [], 0
-
-        def close():
-            rows, places = (np.concatenate(x) for x in zip(*held, strict=True))
-            if (rows != now[1] * PLACES + np.arange(len(rows))).any():
-                raise ValueError("the rows of a file are not numbered one by one")
-            with files.writing(path(*now)) as f:
-                f.write(places.astype("<i8").tobytes())
-
-        for b in batches:
-            file, row, at = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            n += len(file)
-            cuts = np.flatnonzero((file[1:] != file[:-1]) | (row[1:] // PLACES != row[:-1] // PLACES)) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(file)], strict=True):
-                if lo < hi:
-                    key = int(file[lo]), int(row[lo]) // PLACES
-                    if key != now and held:
-                        close()
-                        held = []
-                    now = key
-                    held.append((row[lo:hi], at[lo:hi]))
-        if held:
-            close()
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+def _placed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[Column]]:
+    """The rows with the number of their range (__range) and what sorts them within it, in the order of the mix.
 
+    Texts are not joined: within a source, rows of a block follow each other in the order of mixing.rank_key(), so that the
+    keys at which blocks begin, a row per block, tell each row its block. Rows of an id that comes earlier in another
+    source are exceptions in that table. DataFrame operations only.
+    """
+    spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    known = keys.join(order, F.col("doc_id").eqNullSafe(F.col("__id"))).select("__file", "__row", "__at")
-    dealt = known.repartition(parts, "__file", F.expr(f"__row div {PLACES}")).sortWithinPartitions("__file", "__row")
-    dealt.mapInArrow(write, "n long").agg(F.sum("n")).collect()
-
-    def read(batches):
-        import pyarrow as pa
-
-        now = places = None
-        for b in batches:
-            *_, file, row = (b.column(i).to_numpy(zero_copy_only=False) for i in (b.num_columns - 2, b.num_columns - 1))
-            at = np.empty(len(file), np.int64)
-            cuts = np.flatnonzero((file[1:] != file[:-1]) | (row[1:] // PLACES != row[:-1] // PLACES)) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(file)], strict=True):
-                if lo < hi:
-                    key = int(file[lo]), int(row[lo]) // PLACES
-                    if key != now:
-                        with files.reading(path(*key)) as f:
-                            now, places = key, np.frombuffer(f.read(), "<i8")
-                    at[lo:hi] = places[row[lo:hi] % PLACES]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(at)], [*b.schema.names[:-2], "__at"])
-
-    rows = _addressed(docs, *COLUMNS)
-    return rows.mapInArrow(read, StructType([*rows.schema.fields[:-2], StructField("__at", LongType())]))
+    each = mixing.mix(docs, scratch=scratch).groupBy("source", "doc_id")
+    each = each.agg(F.min("position").alias("own"), F.min("block").alias("block"), F.count(F.lit(1)).alias("n"))
+    each = scratch.keep(each, "order")
+    rows = each.agg(F.sum("n")).first()[0] or 0
+    rank = mixing.rank_key(F.col("doc_id"), rows)
+    ranges = F.expr(f"cast(__at * {parts} div {max(1, rows)} as int)")  # positions are gapless: no sampling pass
+    ids = each.groupBy("doc_id").agg(F.min(F.struct("own", "source", "block")).alias("first"), F.count(F.lit(1)).alias("n"))
+    several = scratch.keep(ids.filter("n > 1"), "several")
+    strays = several.agg(F.sum(F.col("n") - 1)).first()[0] or 0
+    if strays + each.select("source").distinct().count() > PLACES:
+        order = ids.select(F.col("doc_id").alias("__id"), F.col("first.own").alias("__at"))
+        placed = docs.select(*COLUMNS).join(order, F.col("doc_id").eqNullSafe(F.col("__id")))
+        return placed.withColumn("__range", ranges), [F.col("__at"), *rank]
+
+    def key(source: Column, when: int) -> Column:
+        return F.struct(source.alias("source"), *(c.alias(f"k{i}") for i, c in enumerate(rank)), F.lit(when).alias("when"))
+
+    # a block begins at (key, 0), rows look for (key, 1); an exception holds from (key, 1) to (key, 2)
+    blocks = each.groupBy("source", "block").agg(F.min(key(F.col("source"), 0)).alias("k"), F.min("own").alias("at"))
+    starts = blocks = scratch.keep(blocks, "blocks")
+    if strays:
+        stray = each.join(several.select(F.col("doc_id").alias("id"), "first"), F.col("doc_id").eqNullSafe(F.col("id")))
+        stray = stray.filter("source <> first.source")
+        at = blocks.select(F.col("source").alias("s"), F.col("block").alias("b"), "at")
+        there = stray.join(at, F.expr("s = first.source and b = first.block")).select(key(F.col("source"), 1).alias("k"), "at")
+        back = stray.join(at, F.expr("s = source and b = block")).select(key(F.col("source"), 2).alias("k"), "at")
+        starts = scratch.keep(blocks.select("k", "at").unionByName(there).unionByName(back), "starts")
+    # one value in the plan: a scalar subquery would be sent to each task once per use
+    known = f"starts_{uuid.uuid4().hex}"
+    listed = starts.agg(F.sort_array(F.collect_list(F.struct("k", "at"))).alias("starts"))
+    spark.sql(f"DECLARE VARIABLE {known} {listed.schema[0].dataType.simpleString()}")
+    try:
+        spark.sql(f"SET VARIABLE {known} = (SELECT starts FROM {{listed}})", listed=listed)
+        steps = F.array(*(F.lit(1 << i) for i in reversed(range(starts.count().bit_length()))), F.lit(0))
+        # by halving: how many starts are not beyond the key
+        found = F.aggregate(steps, F.lit(0), lambda i, s: i + F.when(F.get(F.expr(known), i + s - 1)["k"] <= F.col("__key"), s).otherwise(0))
+        placed = docs.select(*COLUMNS, key(mixing.source_key(F.col("source")), 1).alias("__key"))
+        placed = placed.select(*COLUMNS, F.get(F.expr(known), found - 1)["at"].alias("__at"))
+    finally:
+        spark.sql(f"DROP TEMPORARY VARIABLE {known}")
+    return placed.withColumn("__range", ranges), [F.col("__at"), *rank]
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -159,14 +134,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source is a source of its own. Rows of one id, and rows without an id, come together, at the first place
     that the schedule gives to one of them. Texts are not looked at.
     """
-    scratch = Scratch(spark, "mixture")
-    order = scratch.keep(mixing.mix(docs, scratch=scratch).groupBy("doc_id").agg(F.min("position").alias("__at")), "order")
-    rows = order.agg(F.coalesce(F.max("__at"), F.lit(0))).first()[0] + 1
+    placed, order = _placed(docs, Scratch(spark, "mixture"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = _placed(docs, order.withColumnRenamed("doc_id", "__id"), scratch)
-    # positions are gapless, so equal ranges need no sampling pass
-    ranges = F.expr(f"cast(__at * {parts} div {rows} as int)")
-    return placed.repartitionById(parts, ranges).sortWithinPartitions("__at").select(*COLUMNS)
+    return placed.repartitionById(parts, "__range").sortWithinPartitions(*order).select(*COLUMNS)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -115,3 +115,24 @@ def test_the_mix_shuffles_texts_once(spark, tmp_path, monkeypatch):
         assert P.mixture(spark, held.limit(0), SF).count() == 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_the_mix_runs_no_python(spark, tmp_path, monkeypatch, most):
+    """DataFrame operations only, also where ids come in several sources or places are joined."""
+    rows = [(i % 150 if i % 13 else None, f"text {i}", "en", ("a", "b", None, "", "c")[i * i % 7 % 5], i) for i in range(400)]
+    rows += [(1000 + i, None, None, f"s{i % 40}", None) for i in range(200)]
+    spark.createDataFrame(rows, KIND).repartition(3).write.parquet(f"{tmp_path}/docs")
+    held = spark.read.parquet(f"{tmp_path}/docs")
+    monkeypatch.setattr(P, "PLACES", most)
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(held), name, lambda *_, **__: pytest.fail("runs Python on the executors"))
+    mixed = P.mixture(spark, held, SF)
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Arrow", "Python", "Pandas")) and ("Join" in plan) == (most == 0)
+    got = mixed.collect()
+    assert sorted(map(str, got)) == sorted(map(str, held.collect()))
+    first = {}
+    for r in P.mixing.mix(held).orderBy("position").collect():
+        first.setdefault(r.doc_id, r.position)
+    assert [r.doc_id for r in got] == sorted((r.doc_id for r in got), key=first.get)

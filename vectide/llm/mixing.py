@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Mapping
 from fractions import Fraction
 from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, chunks_for, running_totals, table
@@ -98,6 +98,16 @@ def run_schedule(parts: Mapping[str, int], blocks: Mapping[str, int]) -> Iterato
             heapq.heappush(waiting, ((j + 1) * total // parts[k], k, j + 1))
 
 
+def source_key(source: Column) -> Column:
+    """The name of a source; a null one is named by the empty string."""
+    return F.coalesce(source.cast("string"), F.lit(""))
+
+
+def rank_key(id_: Column, rows: int) -> list[Column]:
+    """Chunk, hash and id, which order the rows of a source in a mix of so many rows."""
+    return [F.pmod(F.xxhash64(id_), F.lit(chunks_for(rows))).cast("int"), F.xxhash64(id_), id_]
+
+
 def mix(
     docs: DataFrame,
     weights: Mapping[str, float] | Callable[[Mapping[str, int]], Mapping[str, float]] | None = None,
@@ -127,7 +137,7 @@ def mix(
     scratch = scratch or Scratch(spark, "mix")
     keys = docs.select(
         F.col(id_col).alias("__id"),
-        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__src"),
+        source_key(F.col(source_col)).alias("__src"),
     )
     counts = {r["__src"]: r["n"] for r in keys.groupBy("__src").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = sum(counts.values())
@@ -142,7 +152,8 @@ def mix(
     if not any(given.values()):
         given = dict.fromkeys(counts, 1.0)
     flat = _schedule(scratch, given, counts, period, block_rows)
-    keys = keys.withColumn("__h", F.xxhash64("__id")).withColumn("__chunk", F.pmod("__h", F.lit(chunks_for(rows))).cast("int"))
+    chunk, h, _ = rank_key(F.col("__id"), rows)
+    keys = keys.withColumn("__h", h).withColumn("__chunk", chunk)
     ranked = running_totals(keys, ["__src"], "__chunk", ["__h", "__id"], "__i").withColumn("__b", F.expr(f"__i div {block_rows}"))
     return ranked.join(flat, (F.col("__src") == F.col("__s")) & (F.col("__b") == F.col("block"))).select(
         F.col("__id").alias(id_col),
