@@ -38,6 +38,27 @@ def test_put_and_get_in_order(engine):
     assert np.array_equal(np.array(t.column("vector").to_pylist(), np.float32), clusters())
 
 
+def test_a_sorted_frame_keeps_its_order(engine):
+    """Its partitions may differ from run to run: with all columns there are more of them than for a count."""
+    pad = F.concat(*(F.sha2(F.concat_ws("-", "id", F.lit(k)), 256) for k in range(6)))
+    df = engine.spark.range(0, 50_000, 1, 9).select("id", F.xxhash64("id").alias("key"), pad.alias("pad"))
+    got = engine.make_table("sorted", df.orderBy("key")).catalog.table("sorted", ordinal=True).orderBy("__ROW_ID__").collect()
+    engine.drop_table("sorted")
+    assert [r["__ROW_ID__"] for r in got] == list(range(50_000))
+    assert [r.key for r in got] == sorted(r.key for r in got)
+
+
+def test_a_table_of_several_frames_keeps_their_order(engine):
+    """Also with frames of empty partitions and without rows."""
+    spark = engine.spark
+    frames = [spark.range(0, 100, 1, 7).filter("id % 50 > 20"), spark.range(0), spark.range(0, 30, 1, 3).orderBy(F.desc("id"))]
+    engine.catalog.make_table_of("several", iter(frames))
+    got = engine.read_table("several", ordered=True).collect()
+    assert [r.id for r in got] == [*(i for i in range(100) if i % 50 > 20), *reversed(range(30))]
+    assert sorted(r["__ROW_ID__"] for r in engine.catalog.table("several", ordinal=True).collect()) == list(range(len(got)))
+    engine.drop_table("several")
+
+
 def test_select_and_filter(engine):
     got = engine.read_table("test/table", select=["id"], filter="id < 5 and size(vector) = 16")
     assert got.columns == ["id"] and sorted(r.id for r in got.collect()) == [0, 1, 2, 3, 4]

@@ -1,5 +1,6 @@
 """Every query that has SQL gives the rows that DuckDB gives."""
 
+import duckdb
 import pytest
 
 from tests.conftest import DATA, rows_of
@@ -18,6 +19,22 @@ def test_query_equals_sql(spark, duck, name):
     assert a == b
 
 
+def in_files(spark, path, ids):
+    """A folder of vectors in files of these ids; the last ids are in the largest file, which Spark reads first."""
+    at = f"{path}/embeddings.parquet"
+    for own in ids:
+        spark.createDataFrame([(i, [1.0, 2.0], 0) for i in own], "vec_id long, embedding array<float>, label int").coalesce(1).write.mode("append").parquet(at)
+    return duckdb.connect().execute(f"CREATE VIEW embeddings AS SELECT * FROM '{at}/*.parquet'")
+
+
+@pytest.mark.parametrize("ids", [[range(40), range(40, 2000)], [[5, None, 3], [None, 5, *range(100, 1000)], [-7]], [[]]])
+def test_table_order_of_files(spark, tmp_path, ids):
+    con = in_files(spark, tmp_path, ids)
+    got = queries.QUERIES["table_order"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got if r.vec_id is not None) == sorted(x for x in con.execute(queries.SQL["table_order"]).fetchall() if x[1] is not None)
+    assert sorted(r.place for r in got) == list(range(sum(map(len, ids))))
+
+
 def test_every_query_has_sql():
     assert set(queries.QUERIES) == set(queries.SQL)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROW_ID = "__ROW_ID__"
-_SLOT = 33  # bits that monotonically_increasing_id keeps for the place in a partition
+SLOT = 33  # bits that monotonically_increasing_id keeps for the place in a partition
 
 
 def with_row_id(df: DataFrame, name: str = ROW_ID) -> DataFrame:
@@ -19,7 +19,7 @@ def with_row_id(df: DataFrame, name: str = ROW_ID) -> DataFrame:
     frame must return the same partitions each time, as scans and local data do.
     """
     marked = df.withColumn("__mono", F.monotonically_increasing_id())
-    part = F.shiftright("__mono", _SLOT)
+    part = F.shiftright("__mono", SLOT)
     counts = marked.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
     offsets, total = [], 0
     for r in sorted(counts, key=lambda r: r.p):
@@ -27,7 +27,7 @@ def with_row_id(df: DataFrame, name: str = ROW_ID) -> DataFrame:
         total += r.n
     spark = df.sparkSession
     table = F.broadcast(spark.createDataFrame(offsets or [(0, 0)], "__p long, __o long"))
-    place = F.col("__mono").bitwiseAND(F.lit((1 << _SLOT) - 1))
+    place = F.col("__mono").bitwiseAND(F.lit((1 << SLOT) - 1))
     return (
         marked.join(table, part == F.col("__p"), "left").withColumn(name, place + F.coalesce("__o", F.lit(0).cast("long"))).drop("__mono", "__p", "__o")
     )

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
 from ..operators.coder import CoderConfig, Coding, books_frame
-from ..operators.rows import ROW_ID, union_all, with_row_id
+from ..operators.rows import ROW_ID, SLOT, union_all
 from ..plans.search import CELL, CELLS, CODE
 from .storage import Storage
 
@@ -52,8 +52,8 @@ class Catalog:
     # tables
 
     def make_table(self, name: str, df: DataFrame) -> DataFrame:
-        """Create or replace a table. Row order is kept by a hidden ordinal. The version before stays until the next
-        one comes, so that frames which were planned on it can still run."""
+        """Create or replace a table. Row order, also a sorted frame's, is kept by a hidden ordinal. The version before
+        stays until the next one comes, so that frames which were planned on it can still run."""
         return self.make_table_of(name, iter([df]))
 
     def make_table_of(self, name: str, frames: Iterator[DataFrame]) -> DataFrame:
@@ -66,18 +66,22 @@ class Catalog:
             raise ValueError(f"{name!r} holds other tables")
         old = self.store.read_json(f"{at}/{META}") if self.store.exists(f"{at}/{META}") else None
         version, schema, rows = uuid.uuid4().hex, None, 0
+        shifts: list[int] = []  # by written partition: from the number that its rows carry to their ordinal
         for df in frames:
             hidden = [c for c in df.columns if c in (ROW_ID, CODE, CELL)]
             if hidden:
                 raise ValueError(f"reserved column names: {hidden}")
-            numbered = with_row_id(df)
-            if schema is not None:
-                rows = self.spark.read.parquet(self.store.full(f"{at}/v-{version}")).count()  # from the files' footers
-                numbered = numbered.withColumn(ROW_ID, F.col(ROW_ID) + rows)
-            numbered.write.mode("append").parquet(self.store.full(f"{at}/v-{version}"))
+            # counted as written, in one run: a sorted frame may be cut into other partitions each time that it runs
+            first = F.lit(len(shifts) << SLOT)
+            df.withColumn(ROW_ID, F.monotonically_increasing_id() + first).write.mode("append").parquet(self.store.full(f"{at}/v-{version}"))
+            new = self.spark.read.schema(f"{ROW_ID} long").parquet(self.store.full(f"{at}/v-{version}")).filter(F.col(ROW_ID) >= first)
+            sizes = {r.p: r.n for r in new.groupBy(F.shiftright(ROW_ID, SLOT).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+            for p in range(len(shifts), max(sizes, default=-1) + 1):
+                shifts.append(rows - (p << SLOT))
+                rows += sizes.get(p, 0)
             schema = schema or df.schema
         dims = self._dims(f"{at}/v-{version}", schema)
-        self.store.write_json(f"{at}/{META}", {"version": version, "schema": schema.jsonValue(), "dims": dims})
+        self.store.write_json(f"{at}/{META}", {"version": version, "schema": schema.jsonValue(), "dims": dims, "shifts": shifts})
         self._keep(at, version, old and old["version"])
         return self.table(name)
 
@@ -106,6 +110,9 @@ class Catalog:
         meta = self.meta(name)
         schema = StructType.fromJson(meta["schema"]).add(ROW_ID, "long")
         df = self.spark.read.schema(schema).parquet(self.store.full(f"sources/{name}/v-{meta['version']}"))
+        if meta.get("shifts"):  # a constant array
+            shifts = F.split(F.lit(",".join(map(str, meta["shifts"]))), ",").cast("array<bigint>")
+            df = df.withColumn(ROW_ID, F.col(ROW_ID) + F.element_at(shifts, (F.shiftright(ROW_ID, SLOT) + 1).cast("int")))
         return df
 
     def table(self, source: str | Sequence[str], ordinal: bool = False) -> DataFrame:
