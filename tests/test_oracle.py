@@ -35,6 +35,13 @@ def test_table_order_of_files(spark, tmp_path, ids):
     assert sorted(r.place for r in got) == list(range(sum(map(len, ids))))
 
 
+@pytest.mark.parametrize("ids", [[range(1234)], [range(150), [None, 7, 7], range(200, 1000)], [range(37)], [[None]], [[]]])
+def test_batches_mapped_of_any_number_of_rows(spark, tmp_path, ids):
+    con = in_files(spark, tmp_path, ids)
+    got = queries.QUERIES["batches_mapped"](spark, str(tmp_path)).select("batches", "least", "most", "ids").collect()
+    assert [tuple(r) for r in got] == con.execute(queries.SQL["batches_mapped"]).fetchall()
+
+
 def test_every_query_has_sql():
     assert set(queries.QUERIES) == set(queries.SQL)
 

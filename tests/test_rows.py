@@ -48,6 +48,15 @@ def test_batches_drop_the_remainder(spark):
         R.random_batches(spark.range(3), 10)
 
 
+def test_batches_keep_the_rest_if_asked(spark):
+    b = R.random_batches(spark.range(105), 10, seed=3, rest=True)
+    assert [r["count"] for r in b.groupBy("batch_id").count().orderBy("batch_id").collect()] == [10] * 10 + [5]
+    assert b.select("id").distinct().count() == 105
+    assert R.random_batches(spark.range(3), 10, rest=True).count() == 3
+    sizes = R.map_batches(spark.range(25), 10, lambda t: pa.table({"n": [t.num_rows]}), "n long", rest=True).collect()
+    assert sorted(r.n for r in sizes) == [5, 10, 10]
+
+
 def test_map_batches_runs_each_row_once(spark):
     def add(t):
         ids = t.column("id").to_pylist()

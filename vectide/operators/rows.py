@@ -97,24 +97,26 @@ def random_positions(df: DataFrame, seed: int, key: str = ROW_ID, chunks: int |
     )
 
 
-def random_batches(df: DataFrame, size: int, seed: int = 0) -> DataFrame:
-    """Rows with a ``batch_id``: one epoch without replacement in batches of exactly ``size``; the remainder is dropped.
+def random_batches(df: DataFrame, size: int, seed: int = 0, rest: bool = False) -> DataFrame:
+    """Rows with a ``batch_id``: one epoch without replacement in batches of exactly ``size``; the remainder is dropped,
+    or with ``rest`` makes a last, shorter batch.
 
     The ordinal ``__ROW_ID__`` stays, so that a batch can be read in scan order.
     """
     if size < 1:
         raise ValueError("a batch holds at least one row")
     numbered = df if ROW_ID in df.columns else with_row_id(df)
-    full = numbered.count() // size
-    if not full:
+    full = 0 if rest else numbered.count() // size
+    if not full and not rest:
         raise ValueError(f"fewer rows than a batch of {size}")
-    placed = random_positions(numbered, seed)
-    return placed.withColumn("batch_id", F.floor(F.col("__POS__") / size).cast("long")).filter(F.col("batch_id") < full).drop("__POS__")
+    placed = random_positions(numbered, seed).withColumn("batch_id", F.floor(F.col("__POS__") / size).cast("long")).drop("__POS__")
+    return placed if rest else placed.filter(F.col("batch_id") < full)
 
 
-def map_batches(df: DataFrame, size: int, func: Callable | None = None, schema=None, seed: int = 0) -> DataFrame:
-    """Apply ``func`` (Arrow table to Arrow table) to each random batch, in scan order, in parallel; each row once."""
-    batches = random_batches(df, size, seed)
+def map_batches(df: DataFrame, size: int, func: Callable | None = None, schema=None, seed: int = 0, rest: bool = False) -> DataFrame:
+    """Apply ``func`` (Arrow table to Arrow table) to each random batch, in scan order, in parallel; each row once.
+    ``rest`` as in random_batches()."""
+    batches = random_batches(df, size, seed, rest)
     names = [c for c in df.columns if c != ROW_ID]
     if func is None:
         return batches.select("batch_id", *names)
